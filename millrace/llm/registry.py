@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op6_decontam
 from .mixing import op9_mixing
 from .orderminhash import op3_order_minhash
 from .quality import op7_quality
@@ -17,7 +18,7 @@ from .toxicity import op4_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, over its whole table."""
-    return {f.__name__: f for f in (op3_order_minhash, op4_toxicity, op5_sharding, op7_quality, op8_simhash, op9_mixing, op10_secrets)}
+    return {f.__name__: f for f in (op3_order_minhash, op4_toxicity, op5_sharding, op6_decontam, op7_quality, op8_simhash, op9_mixing, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
