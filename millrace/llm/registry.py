@@ -13,12 +13,13 @@ from .quality import op7_quality
 from .secrets import op10_secrets
 from .sharding import op5_sharding
 from .simhash import op8_simhash
+from .substrings import op2_substrings
 from .toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, over its whole table."""
-    return {f.__name__: f for f in (op3_order_minhash, op4_toxicity, op5_sharding, op6_decontam, op7_quality, op8_simhash, op9_mixing, op10_secrets)}
+    return {f.__name__: f for f in (op2_substrings, op3_order_minhash, op4_toxicity, op5_sharding, op6_decontam, op7_quality, op8_simhash, op9_mixing, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
