@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import ORACLE_SQL as CHAT_SQL
+from .chat import op1_chat
 from .decontam import op6_decontam
 from .mixing import op9_mixing
 from .orderminhash import op3_order_minhash
@@ -19,9 +21,9 @@ from .toxicity import op4_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, over its whole table."""
-    return {f.__name__: f for f in (op2_substrings, op3_order_minhash, op4_toxicity, op5_sharding, op6_decontam, op7_quality, op8_simhash, op9_mixing, op10_secrets)}
+    return {f.__name__: f for f in (op1_chat, op2_substrings, op3_order_minhash, op4_toxicity, op5_sharding, op6_decontam, op7_quality, op8_simhash, op9_mixing, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op1_chat": CHAT_SQL}
