@@ -115,10 +115,10 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Ids, sources and sizes of ``docs``, with the hash that orders a source."""
+    """Ids, sources and sizes of ``docs``, with the hash that orders a source; th tells texts apart."""
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), h.alias("h")), "mix-sizes")
+    return stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), h.alias("h"), F.xxhash64("text").alias("th")), "mix-sizes")
 
 
 def _placed(rows: DataFrame, seed: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _placed(rows: DataFrame, seed: int) -> DataFrame:
         [(p.source, p.size, p.target, p.times, p.start, p.stop) for p in plans],
         "_source string, source_size long, target double, times long, _start long, _stop long",
     )
-    placed = before(rows, ["source"], ["h", "doc_id", "size"], F.col("size"), max([r.n for r in found], default=0), "at")
+    placed = before(rows, ["source"], ["h", "doc_id", "size", "th"], F.col("size"), max([r.n for r in found], default=0), "at")
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("_source")))
 
     def inside(low: Column, high: Column) -> tuple[Column, Column]:
@@ -147,6 +147,28 @@ def _placed(rows: DataFrame, seed: int) -> DataFrame:
     return placed.withColumn("taken", taken).drop("_source", "_start", "_stop", "h")
 
 
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken whole, and once
+    more with the words of a part; documents of which nothing is taken are left out.
+    """
+    taken = mix(docs, seed).where("taken > 0")
+    how = F.struct("times", "cut_from", "cut_to", "wrap_to", "size")
+    by = taken.groupBy("doc_id", "th", "source").agg(F.collect_list(how).alias("_how"))
+    by = stash(by.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("source").alias("_source"), "_how"), "mix-taken")
+    n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    # equal rows come back through the list of what is taken of each
+    once = docs if n == ids else docs.dropDuplicates(["doc_id", "text", "source"])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = once.join(by, same).withColumn("_one", F.explode("_how")).drop("_doc", "_th", "_source", "_how")
+    cut = F.col("_one.cut_to") - F.col("_one.cut_from")
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    part = F.array_join(F.concat(F.slice(words, 1, F.col("_one.wrap_to").cast("int")), F.slice(words, (F.col("_one.cut_from") + 1).cast("int"), cut.cast("int"))), " ")
+    part = F.when(cut == F.col("_one.size"), F.col("text")).when(cut + F.col("_one.wrap_to") > 0, part)
+    texts = F.concat(F.array_repeat("text", F.col("_one.times").cast("int")), F.array_compact(F.array(part)))
+    rows = rows.withColumn("_text", F.explode(texts)).withColumn("text", F.col("_text"))
+    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")

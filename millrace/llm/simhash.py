@@ -47,16 +47,17 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` of every row of ``docs(doc_id, text)``."""
+    """``(doc_id, th, fp)`` of every row of ``docs(doc_id, text)``; th tells texts with equal ids apart."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = column(batch, "text")
             data = raw.tobytes()
             fps = [fingerprint(data[s:e], shingle) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(each, "doc_id long, th long, fp long")
 
 
 def masks(radius: int = 4) -> list[int]:
@@ -133,7 +134,7 @@ def links(reps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row: the smallest doc_id reachable over links.
+    """``(doc_id, th, fp, component_id)`` per row: the smallest doc_id reachable over links.
 
     Equal fingerprints are one node from the start, so a group of copies of any size costs one row.
     """
@@ -144,7 +145,23 @@ def near_classes(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFram
     least = stash(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
     of_fp = stash(named.join(least, "root").select("fp", "component_id"), "simhash-of")
     joined = fps.join(of_fp, "fp", "left")
-    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return joined.select("doc_id", "th", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns kept, that stand for their class: the smallest doc_id.
+
+    Rows without a doc_id all stay. Where an id is repeated, one row of it stays at most.
+    """
+    rows = near_classes(docs, radius, shingle).where("doc_id is not null")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+    first = stash(first.select(F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th")), "simhash-first")
+    ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    known = docs.where("doc_id is not null")
+    kept = known.join(first, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
+    if ids[0] != ids[1]:
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
