@@ -5,7 +5,7 @@ character 4-grams, so that unseen forms of a known stem still count. A text is c
 words; all of them are scored, and the text's score is the calibrated logit of its highest window.
 
 The model is fitted on the driver on a bounded sample of labelled rows outside the held-out fold: at most
-``MAX_ROWS`` of each label, none longer than ``MAX_CHARS`` code points. Scoring takes whole texts of any
+``MAX_ROWS`` of either label, none longer than ``MAX_CHARS`` code points. Scoring takes whole texts of any
 length. Labels, language, source and id are never inputs.
 
 Edge cases: a null, empty or wordless text is one empty window and gets the network's bias as logit; a null
@@ -28,7 +28,7 @@ from ._common import held_out, table
 from ._text import column, hash_runs, mix, runs, slices
 from .boosting import sigmoid
 
-MAX_ROWS = 2_000
+MAX_ROWS = {1: 2_000, 0: 4_000}
 MAX_CHARS = 12_000
 WINDOW, STRIDE = 48, 32
 THRESHOLD = 0.5
@@ -138,7 +138,7 @@ class Network:
             return np.full(batch.num_rows, self.constant)
         return sigmoid(self.scale * self.logits(batch).astype(float) + self.shift)
 
-    def logits(self, batch: pa.RecordBatch, part: int = 4096) -> np.ndarray:
+    def logits(self, batch: pa.RecordBatch, part: int = 1024) -> np.ndarray:
         """The highest window logit of each text."""
         w = words_of(batch)
         x = self.inputs(w)[0]
@@ -167,6 +167,16 @@ def steps_of(index: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np
     return (index[at] if len(index) else np.zeros_like(at)), mask
 
 
+def sum_by(key: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each key below ``n``."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        out[key[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def gradients(net: Network, x: np.ndarray, idx: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict, np.ndarray]:
     """Weighted logistic loss, the gradients of the parameters, and that of the inputs."""
     p, steps = net.p, len(idx)
@@ -186,7 +196,7 @@ def gradients(net: Network, x: np.ndarray, idx: np.ndarray, mask: np.ndarray, y:
     dhidden += datt @ p["Wa"].T
     dx = np.zeros_like(x)
     for k, way in enumerate("fb"):
-        dxw = np.zeros((len(x), 3 * HIDDEN), np.float32)
+        steps_dx = np.empty((steps, idx.shape[1], 3 * HIDDEN), np.float32)
         gu = np.zeros_like(p["U" + way])
         dh = np.zeros((idx.shape[1], HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1) if way == "f" else range(steps):
@@ -199,8 +209,9 @@ def gradients(net: Network, x: np.ndarray, idx: np.ndarray, mask: np.ndarray, y:
             dr = dc * uc * r * (1 - r)
             du = np.hstack([dz, dr, dc * r])
             gu += h.T @ du
-            np.add.at(dxw, idx[t], np.hstack([dz, dr, dc]))
+            steps_dx[t] = np.hstack([dz, dr, dc])
             dh = dh - dn * (1 - z) + du @ p["U" + way].T
+        dxw = sum_by(idx.ravel(), steps_dx.reshape(-1, 3 * HIDDEN), len(x))
         g["U" + way], g["W" + way], g["b" + way] = gu, x.T @ dxw, dxw.sum(0)
         dx += dxw @ p["W" + way].T
     return loss, g, dx
@@ -208,9 +219,9 @@ def gradients(net: Network, x: np.ndarray, idx: np.ndarray, mask: np.ndarray, y:
 
 def _odds(keys: np.ndarray, row: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that at least ``least`` texts use, and the smoothed log odds of the label where they occur."""
-    key, row = np.unique(np.stack([keys, row.astype(np.uint64)]), axis=1)
-    found, at, count = np.unique(key, return_inverse=True, return_counts=True)
-    ones = np.bincount(at, y[row.astype(np.int64)], len(found))
+    _, once = np.unique(mix(keys + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    found, at, count = np.unique(keys[once], return_inverse=True, return_counts=True)
+    ones = np.bincount(at, y[row[once]], len(found))
     a, b = (ones + 0.3) / (y.sum() + 1), (count - ones + 0.3) / ((1 - y).sum() + 1)
     keep = count >= least
     return found[keep], np.clip(np.log(a / b), -3, 3)[keep]
@@ -227,11 +238,13 @@ def fit(batch: pa.RecordBatch, y: np.ndarray, weight: np.ndarray, epochs: int =
     if not len(y) or y.min() == y.max():
         return Network(np.zeros(0, np.uint64), np.zeros(0, np.uint64), {}, constant=share)
     w = words_of(batch)
-    vocabulary, word_odds = _odds(w.h[w.index], w.row, y, 3)
+    learned = np.arange(len(y))[w.row] % 5 > 0
+    vocabulary, word_odds = _odds(w.h[w.index][learned], w.row[learned], y, 3)
     gram_of = np.argsort(w.gram_word, kind="stable")
     n = np.bincount(w.gram_word, minlength=len(w.h))
     begin = np.cumsum(n) - n
-    once = np.unique(np.stack([w.index, w.row]), axis=1)
+    pair = np.unique((w.index * len(y) + w.row)[learned])
+    once = np.stack([pair // len(y), pair % len(y)])
     use = np.repeat(np.arange(once.shape[1]), n[once[0]])
     k = np.arange(len(use)) - np.repeat(np.cumsum(n[once[0]]) - n[once[0]], n[once[0]])
     grams, gram_odds = _odds(w.grams[gram_of[begin[once[0][use]] + k]], once[1][use], y, 3)
@@ -252,23 +265,28 @@ def fit(batch: pa.RecordBatch, y: np.ndarray, weight: np.ndarray, epochs: int =
     rank = np.array([strength[f : f + s].max() if s else -9 for f, s in zip(first, size)])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     t = 0
-    for epoch in range(epochs):
+    wanted = np.zeros(len(w.h), bool)
+    # a fifth of the texts is left out of training and sets slope and intercept
+    trained = np.arange(len(y)) % 5 > 0
+    for _ in range(epochs):
         order = np.lexsort((-rank, text))
         top = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
-        other = np.flatnonzero(y[text] == 0)
-        chosen = np.concatenate([top, rng.choice(other, min(len(other), 2 * len(y)), replace=False)])
+        top = top[trained[text[top]]]
+        other = np.flatnonzero((y[text] == 0) & trained[text])
+        chosen = np.concatenate([top, rng.choice(other, min(len(other), len(y)), replace=False)])
         rng.shuffle(chosen)
         for at in range(0, len(chosen), 128):
             some = chosen[at : at + 128]
             idx, mask = steps_of(w.index, first[some], size[some])
             used, flat = np.unique(idx, return_inverse=True)
-            pick = np.isin(w.gram_word, used)
+            wanted[:] = False
+            wanted[used] = True
+            pick = wanted[w.gram_word]
             part = Words(w.h[used], w.grams[pick], np.searchsorted(used, w.gram_word[pick]), None, None)
             x, word, gram = net.inputs(part)
             _, g, dx = gradients(net, x, flat.reshape(idx.shape), mask, y[text[some]], np.full(len(some), 1 / len(some)))
-            g["Ew"], g["Ec"] = np.zeros_like(p["Ew"]), np.zeros_like(p["Ec"])
-            np.add.at(g["Ew"], word, dx[:, :DIM])
-            np.add.at(g["Ec"], gram, (dx[:, DIM:] / np.maximum(np.bincount(part.gram_word, minlength=len(used)), 1)[:, None])[part.gram_word])
+            g["Ew"] = sum_by(word, dx[:, :DIM], len(p["Ew"]))
+            g["Ec"] = sum_by(gram, (dx[:, DIM:] / np.maximum(np.bincount(part.gram_word, minlength=len(used)), 1)[:, None])[part.gram_word], len(p["Ec"]))
             t += 1
             for key, v in p.items():
                 m1, m2 = moments[key]
@@ -279,7 +297,7 @@ def fit(batch: pa.RecordBatch, y: np.ndarray, weight: np.ndarray, epochs: int =
         rank = np.concatenate([net.run(x, *steps_of(w.index, first[i : i + 4096], size[i : i + 4096]))[0] for i in range(0, len(first), 4096)])
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, text, rank)
-    net.scale, net.shift = _calibrate(best, y, weight)
+    net.scale, net.shift = _calibrate(best[~trained], y[~trained], weight[~trained])
     return net
 
 
@@ -296,17 +314,17 @@ def _calibrate(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return max(float(theta[0]), 0.05), float(theta[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Network:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: dict[int, int] | None = None, max_chars: int = MAX_CHARS) -> Network:
     """Fit on a bounded sample; only its texts come to the driver."""
     known_labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     once = known_labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     count = {r.y: r["count"] for r in once.groupBy("y").count().collect()}
     chosen = None
     for one in (0, 1):
-        part = once.where(F.col("y") == one).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        part = once.where(F.col("y") == one).orderBy(F.xxhash64("doc_id"), "doc_id").limit((max_rows or MAX_ROWS)[one])
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= max_chars)
-    # the broadcast side has 2 * max_rows rows of two numbers at most
+    # the broadcast side has the sum of max_rows as rows of two numbers at most
     got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("doc_id").toArrow()
     got = got.combine_chunks().to_batches()
     if not got:
