@@ -1,11 +1,13 @@
-"""Registered queries over the operators, and their SQL counterparts."""
+"""All registered queries over the operators, and their SQL counterparts."""
 
 from __future__ import annotations
 
+from . import base, delivery, flagship, messages, web  # noqa: F401  importing registers
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
