@@ -14,7 +14,7 @@ NOW = "1995-06-01 00:00:00"
 ERROR_SQL = "case event_id % 7 when 0 then 'permanent' when 1 then 'transient' when 2 then 'transient' when 3 then 'retry_after' end"
 
 
-def _error() -> Column:
+def event_error() -> Column:
     m = F.col("event_id") % 7
     return F.when(m == 0, "permanent").when(m.isin(1, 2), "transient").when(m == 3, "retry_after")
 
@@ -25,14 +25,14 @@ select event_id, case when bad then 'invalid' when err is null then 'ack' when e
 def settlement_outcome(spark: SparkSession, d: str) -> DataFrame:
     df = read(spark, d, "events")
     policy = RetryPolicy(Backoff(1.5, 3.0, 20.0), 4, True)
-    return settle.settle(df, _error(), (F.col("event_id") % 5 + 1).cast("int"), policy, F.col("event_id") % 11 == 4).select("event_id", "outcome", "delay")
+    return settle.settle(df, event_error(), (F.col("event_id") % 5 + 1).cast("int"), policy, F.col("event_id") % 11 == 4).select("event_id", "outcome", "delay")
 
 
 @query(f"""with a as (select event_id, {ERROR_SQL} as err from events) select case when err is null then 'ack' when err = 'permanent' then 'invalid' else 'retry' end as outcome, count(*) as n from a group by 1""")
 def settlement_native_dead_letter(spark: SparkSession, d: str) -> DataFrame:
     """A source that has a dead-letter queue of its own keeps its messages."""
     policy = RetryPolicy(Backoff(1.0), 1, True)
-    return settle.settle(read(spark, d, "events"), _error(), F.lit(9), policy, native_dead_letter=True).groupBy("outcome").agg(F.count("*").alias("n"))
+    return settle.settle(read(spark, d, "events"), event_error(), F.lit(9), policy, native_dead_letter=True).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query("select event_id, cast(event_id % 40 as bigint) as attempt, least(60.0, 0.5 * pow(2.0, event_id % 40)) as capped, pow(2.0, event_id % 40) as free from events")
@@ -73,7 +73,7 @@ def payload_too_large(spark: SparkSession, d: str) -> DataFrame:
 @query("select user_id, count(*) as n from events where event_id % 7 in (1, 2, 3) group by 1")
 def breaker_health(spark: SparkSession, d: str) -> DataFrame:
     """Only transient errors count against a breaker."""
-    df = read(spark, d, "events").where(~settle.healthy(_error()))
+    df = read(spark, d, "events").where(~settle.healthy(event_error()))
     return df.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
