@@ -33,6 +33,8 @@ MAX_CHARS = 12_000
 WINDOW, STRIDE = 48, 32
 THRESHOLD = 0.5
 DIM, HIDDEN, GRAM = 8, 8, 4
+#: Windows in a training step, and how many steps a small sample gets at least.
+BATCH, LEAST_STEPS = 128, 300
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -268,15 +270,16 @@ def fit(batch: pa.RecordBatch, y: np.ndarray, weight: np.ndarray, epochs: int =
     wanted = np.zeros(len(w.h), bool)
     # a fifth of the texts is left out of training and sets slope and intercept
     trained = np.arange(len(y)) % 5 > 0
-    for _ in range(epochs):
+    batches = -(-2 * int(trained.sum()) // BATCH)
+    for _ in range(max(epochs, -(-LEAST_STEPS // max(batches, 1)))):
         order = np.lexsort((-rank, text))
         top = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
         top = top[trained[text[top]]]
         other = np.flatnonzero((y[text] == 0) & trained[text])
         chosen = np.concatenate([top, rng.choice(other, min(len(other), len(y)), replace=False)])
         rng.shuffle(chosen)
-        for at in range(0, len(chosen), 128):
-            some = chosen[at : at + 128]
+        for at in range(0, len(chosen), BATCH):
+            some = chosen[at : at + BATCH]
             idx, mask = steps_of(w.index, first[some], size[some])
             used, flat = np.unique(idx, return_inverse=True)
             wanted[:] = False
