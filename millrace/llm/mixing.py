@@ -14,6 +14,7 @@ by source come to the driver.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -106,7 +107,8 @@ def plan(sums: dict[str | None, int], seed: int = SEED, shards: int = SHARDS) ->
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Add to the rows of ``docs(doc_id, text, source, ...)``: size, source_size, target, taken, and
-    ``times`` with the words ``[cut_from, cut_to)`` and ``[0, wrap_to)`` that one more pass takes.
+    ``times`` with the words ``[cut_from, cut_to)`` and ``[0, wrap_to)`` that one more pass takes, and
+    ``shards`` with the output shard of each pass.
 
     One pass over the texts counts words; then only ids and sizes are shuffled, evenly whatever the
     largest source.
@@ -124,10 +126,10 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def _placed(rows: DataFrame, seed: int) -> DataFrame:
     spark = rows.sparkSession
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    _, plans = plan({r.source: r["size"] for r in found}, seed)
+    block, plans = plan({r.source: r["size"] for r in found}, seed)
     known = spark.createDataFrame(
-        [(p.source, p.size, p.target, p.times, p.start, p.stop) for p in plans],
-        "_source string, source_size long, target double, times long, _start long, _stop long",
+        [(p.source, p.size, p.target, p.times, p.start, p.stop, [b * block for b in itertools.accumulate(p.by_shard)]) for p in plans],
+        "_source string, source_size long, target double, times long, _start long, _stop long, _ends array<long>",
     )
     placed = before(rows, ["source"], ["h", "doc_id", "size", "th"], F.col("size"), max([r.n for r in found], default=0), "at")
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("_source")))
@@ -144,7 +146,13 @@ def _placed(rows: DataFrame, seed: int) -> DataFrame:
     _, wrap_to = inside(F.lit(0).cast("long"), wrap)
     placed = placed.withColumn("cut_from", cut_from).withColumn("cut_to", cut_to).withColumn("wrap_to", wrap_to)
     taken = F.col("times") * F.col("size") + F.col("cut_to") - F.col("cut_from") + F.col("wrap_to")
-    return placed.withColumn("taken", taken).drop("_source", "_start", "_stop", "h")
+    # all that is taken of a source, one pass after another, fills the shards up to their quotas
+    run_at = F.when(F.col("cut_to") > F.col("cut_from"), F.greatest("at", "_start") - F.col("_start")).when(F.col("wrap_to") > 0, F.col("source_size") - F.col("_start") + F.col("at"))
+    passes = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("times") - 1, F.lit(0))), lambda e: e * F.col("source_size") + F.col("at"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    places = F.concat(passes, F.array_compact(F.array(F.col("times") * F.col("source_size") + run_at)))
+    shard_of = F.transform(places, lambda p: F.least(F.size(F.filter("_ends", lambda e: e <= p)), F.lit(SHARDS - 1)))
+    placed = placed.withColumn("shards", F.when(taken > 0, shard_of))
+    return placed.withColumn("taken", taken).drop("_source", "_start", "_stop", "_ends", "h")
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -171,4 +179,4 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.array_join(F.transform("shards", lambda s: s.cast("string")), ",").alias("shards"))

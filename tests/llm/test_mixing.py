@@ -56,6 +56,24 @@ def test_whole_table(spark, sf_dir):
         assert taken[s] == pytest.approx(want[s], rel=0.01)
 
 
+def test_shards_get_their_quotas(spark):
+    rows = [(i, " ".join(["w"] * (5 + i % 9)), f"s{i % 5}") for i in range(2000)]
+    rules = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sums = Counter()
+    for _, n, s in ((i, 5 + i % 9, f"s{i % 5}") for i in range(2000)):
+        sums[s] += n
+    block, plans = mixing.plan(dict(sums))
+    got = Counter()
+    for r in rules:
+        passes = [r["size"]] * r.times + ([r.cut_to - r.cut_from + r.wrap_to] if r.taken > r.times * r["size"] else [])
+        assert len(passes) == len(r.shards or [])
+        for s, n in zip(r.shards or [], passes):
+            got[r.source, s] += n
+    for p in plans:
+        for s, quota in enumerate(p.by_shard):
+            assert got[p.source, s] == pytest.approx(quota * block, abs=40)
+
+
 def test_the_mix_follows_what_is_taken(spark):
     rows = [(i, " ".join(f"w{i}.{k}" for k in range(20 + i % 30)), f"s{i % 4}") for i in range(300)]
     rows += [(i, f"q{i} one two", None) for i in range(5)] + [(None, None, "s1"), (7, "dup dup", "s2"), (7, "dup dup", "s2"), (8, "", "s0")]
