@@ -74,6 +74,17 @@ def sanitize(value: Column) -> Column:
     return F.translate(value, "\r\n", "")
 
 
+def excerpt(body: Column, most: int = 256) -> Column:
+    """The start of a body as a quoted string, for error texts."""
+    cut = F.make_valid_utf8(F.substring(body.cast("binary"), 1, most).cast("string"))
+    return F.regexp_extract(F.to_json(F.struct(cut.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def redact_url(url: Column) -> Column:
+    """A URL without all that may be secret: scheme and host only."""
+    return F.regexp_replace(url, r"(?i)^(https?://)(?:[^/?#@\s]*@)?([^/?#\s]+).*$", "$1$2")
+
+
 def valid_url(url: Column) -> Column:
     """Whether a URL is http(s) and has a host."""
     return F.coalesce(url.rlike(r"(?i)^https?://[^/?#\s]+"), F.lit(False))

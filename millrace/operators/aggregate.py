@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +73,28 @@ def with_timeout(df: DataFrame, time_us: str, timeout_us: int, n: int, order: li
         return state, {"generation": state["generation"], "place": state["n"]}
 
     return fold(df, "group_key", order, step, {"generation": "long", "place": "long"})
+
+
+def by_release_expr(df: DataFrame, order: list[str], text: str) -> DataFrame:
+    """Add ``complete``: whether the group up to this member satisfies an expression over ``messages`` and
+    ``size`` (the first member's sequence size). Needs ``headers`` and ``payload``; groups are meant to be
+    small, as the expression sees all members."""
+    from millrace.functions.exprs import compile_expression
+
+    by = Window.partitionBy("group_key").orderBy(*order)
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("messages", F.collect_list(F.struct("headers", "payload")).over(upto)).withColumn("size", F.first("sequence_size").over(upto))
+    e = compile_expression(text, rows, "boolean")
+    return rows.withColumn("complete", F.coalesce(e.value, F.lit(False))).withColumn("err", e.err).drop("messages", "size")
+
+
+def by_release(df: DataFrame, order: list[str], predicate: Callable[[list[dict]], bool]) -> DataFrame:
+    """Generations of a group released whenever an arbitrary predicate holds for its live members."""
+
+    def step(state: dict | None, row: dict) -> tuple[dict, dict]:
+        batch, live = (state["batch"], state["live"]) if state else (0, [])
+        live = [*live, row]
+        out = {"batch": batch, "place": len(live)}
+        return ({"batch": batch + 1, "live": []} if predicate(live) else {"batch": batch, "live": live}), out
+
+    return fold(df, "group_key", order, step, {"batch": "long", "place": "long"})

@@ -94,3 +94,9 @@ def overflow(df: DataFrame, capacity: int, policy: str, order: list[str], queue:
         full = {"drop_newest": "dropped", "reject": "rejected", "block": "blocked"}[policy]
         status = F.when(place <= capacity, "accepted").otherwise(full)
     return df.withColumn("status", status)
+
+
+def clamp(polled: DataFrame, most: int, order: list[str], poll: str) -> DataFrame:
+    """Add ``taken``: of what a poll returned over its limit, the excess goes back."""
+    place = F.row_number().over(Window.partitionBy(poll).orderBy(*order))
+    return polled.withColumn("taken", place <= most)

@@ -50,6 +50,24 @@ def attempt_number(delivery_count: Column, message_id: str, order: list[str]) ->
     return F.coalesce(delivery_count, seen)
 
 
+def attempt_with_ttl(df: DataFrame, message_id: str, at_us: str, order: list[str], ttl_us: int) -> DataFrame:
+    """Add ``attempt``: the place among the deliveries of an id, which is forgotten when idle for the TTL."""
+    by = Window.partitionBy(message_id).orderBy(*order)
+    fresh = F.coalesce((F.col(at_us) - F.lag(at_us).over(by) >= ttl_us).cast("int"), F.lit(0))
+    df = df.withColumn("_fresh", fresh).withColumn("_life", F.sum("_fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn("attempt", F.row_number().over(Window.partitionBy(message_id, "_life").orderBy(*order))).drop("_fresh", "_life")
+
+
+def timed_out(elapsed_us: Column, limit_us: int) -> Column:
+    """A handler over its time is a transient error; no limit, none."""
+    return F.when(elapsed_us > limit_us, "transient") if limit_us > 0 else F.lit(None).cast("string")
+
+
+def observed(settled: DataFrame, name: str) -> DataFrame:
+    """Count outcomes as the plan runs, for listeners; the rows are unchanged."""
+    return settled.observe(name, *[F.sum((F.col("outcome") == o).cast("long")).alias(o) for o in (ACK, INVALID, DEAD, RETRY)])
+
+
 def settle(df: DataFrame, error: Column, attempt: Column, policy: RetryPolicy, decode_error: Column | None = None, native_dead_letter: bool = False) -> DataFrame:
     """Add ``outcome`` and ``delay``. ``error`` is null, ``permanent``, ``transient`` or ``retry_after``."""
     dead = F.lit(False)

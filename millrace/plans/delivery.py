@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import flowctl, queue, settle
+from millrace.operators import flowctl, groupstore, queue, settle
 from millrace.operators.settle import Backoff, ProducerRetry, RetryPolicy
 
 from .base import query, read
@@ -77,9 +77,50 @@ def breaker_health(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("select event_id, value > 80 as timed_out from events")
+@query("select event_id, case when round(value * 1000) > 80000 then 'transient' end as error from events")
 def handler_timeout(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", (F.col("value") > 80).alias("timed_out"))
+    return read(spark, d, "events").select("event_id", settle.timed_out(F.round(F.col("value") * 1000), 80_000).alias("error"))
+
+
+@query("""with e as (select event_id, user_id, ts, epoch_us(ts) as t from events),
+g as (select *, case when t - lag(t) over (partition by user_id order by t, event_id) >= 7200000000 then 1 else 0 end as fresh from e),
+l as (select *, sum(fresh) over (partition by user_id order by t, event_id rows unbounded preceding) as life from g)
+select event_id, cast(row_number() over (partition by user_id, life order by t, event_id) as integer) as attempt from l""")
+def attempt_ttl(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts are forgotten after two idle hours."""
+    return settle.attempt_with_ttl(_timed(spark, d), "user_id", "at_us", ["at_us", "event_id"], 7_200_000_000).select("event_id", "attempt")
+
+
+@query("select event_id, row_number() over (partition by event_type, date_trunc('hour', ts) order by ts, event_id) <= 3 as taken from events")
+def poll_clamp(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").withColumn("poll", F.struct("event_type", F.date_trunc("hour", "ts")))
+    return queue.clamp(e, 3, ["ts", "event_id"], "poll").select("event_id", "taken")
+
+
+@query("""with g as (select event_type, user_id, row_number() over (partition by event_type order by min((ts, event_id)), cast(user_id as varchar)) <= 40 as admitted from events group by event_type, user_id)
+select event_id, admitted from events join g using (event_type, user_id)""")
+def group_capacity(spark: SparkSession, d: str) -> DataFrame:
+    """A store with room for 40 live groups."""
+    e = read(spark, d, "events").withColumn("group_key", F.col("user_id").cast("string"))
+    return groupstore.admitted(e, "event_type", ["ts", "event_id"], 40).select("event_id", "admitted")
+
+
+@query("""with g as (select user_id || '/' || event_type as group_key, epoch_us(min(ts)) as created_us from events group by 1), n as (select max(created_us) as now from g)
+select group_key, created_us from g where created_us < (select now from n) - 86400000000 order by created_us, group_key limit 100""")
+def expired_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The 100 oldest groups over the timeout."""
+    g = _timed(spark, d).groupBy(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("group_key")).agg(F.min("at_us").alias("created_us"))
+    now = g.agg(F.max("created_us")).first()[0]
+    return groupstore.expired(g, now, 86_400_000_000).select("group_key", "created_us")
+
+
+@query()
+def group_store_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as commands on leased groups; checked against a plain replay in the tests."""
+    m = F.col("event_id") % 6
+    command = F.when(m < 3, "add").when(m == 3, "claim").when(m == 4, "settle").otherwise("abandon")
+    log = _timed(spark, d).select(F.col("user_id").cast("string").alias("group_key"), "event_id", command.alias("command"), F.concat(F.lit("m"), (F.col("event_id") % 7).cast("string")).alias("message_id"), (F.col("event_id") % 3).alias("epoch_given"), "at_us")
+    return groupstore.replay(log, ["at_us", "event_id"]).select("event_id", "group_key", "command", "message_id", "epoch_given", "at_us", "result", "members", "epoch", "created_us")
 
 
 def _queue(spark: SparkSession, d: str) -> DataFrame:

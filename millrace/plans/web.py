@@ -149,3 +149,9 @@ f as (
 def elector_lease(spark: SparkSession, d: str) -> DataFrame:
     claims = read(spark, d, "events").select(F.col("event_type").alias("scope"), "event_id", (F.col("user_id") % 3).alias("holder"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
     return cron.elect(claims, "at_us", ["at_us", "event_id"], 1_800_000_000).select("event_id", "leader", "until_us")
+
+
+@query("select ts - interval 1 hour as fire_ts from generate_series(timestamp '1995-01-01 01:00:00', timestamp '1995-01-20 01:00:00', interval 1 minute) g(ts) where minute(ts) = 30 and hour(ts) = 0 and ts - interval 1 hour > timestamp '1995-01-01 00:00:00'")
+def cron_zone(spark: SparkSession, d: str) -> DataFrame:
+    """Half past midnight in Berlin, in winter an hour ahead of UTC."""
+    return cron.fires(spark, cron.parse("30 0 * * *"), "1995-01-01 00:00:00", "1995-01-20 00:00:00", "Europe/Berlin")

@@ -76,20 +76,21 @@ def parse(spec: str, with_seconds: bool = False) -> Schedule:
     return schedule
 
 
-def fires(spark: SparkSession, schedule: Schedule, start: str, end: str) -> DataFrame:
-    """``fire_ts`` of every fire after ``start`` up to ``end``, made in parallel from a range of ids."""
+def fires(spark: SparkSession, schedule: Schedule, start: str, end: str, zone: str = "UTC") -> DataFrame:
+    """``fire_ts`` (UTC) of every fire after ``start`` up to ``end``, made in parallel from a range of ids;
+    fields are read on the clock of ``zone``."""
     span = spark.sql(f"select unix_seconds(timestamp '{start} UTC') a, unix_seconds(timestamp '{end} UTC') b").first()
     step = schedule.every or (60 if schedule.seconds == {0} else 1)
     base = span.a if schedule.every else span.a - span.a % step
     grid = spark.range(base + step, span.b + 1, step).select(F.timestamp_seconds("id").alias("fire_ts"))
     if schedule.every:
         return grid.select(F.col("fire_ts").cast("timestamp_ntz").alias("fire_ts"))
-    t = F.col("fire_ts")
+    t = F.from_utc_timestamp("fire_ts", zone)
     day, weekday = F.dayofmonth(t).isin(list(schedule.days)), (F.dayofweek(t) - 1).isin(list(schedule.weekdays))
     # when both days are given, either one is enough
     fits = F.minute(t).isin(list(schedule.minutes)) & F.hour(t).isin(list(schedule.hours)) & F.month(t).isin(list(schedule.months))
     fits &= (day | weekday) if schedule.either_day else (day & weekday)
-    return grid.where(fits & F.second(t).isin(list(schedule.seconds))).select(t.cast("timestamp_ntz").alias("fire_ts"))
+    return grid.where(fits & F.second(t).isin(list(schedule.seconds))).select(F.col("fire_ts").cast("timestamp_ntz").alias("fire_ts"))
 
 
 def single_fire(claims: DataFrame, order: list[str]) -> DataFrame:

@@ -39,3 +39,14 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Write all that a stream has to offer now."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def outbox(stream: DataFrame, handler: Callable[[DataFrame], tuple[DataFrame, DataFrame]], business: str, messages: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write a handler's rows and the messages it sends in one micro-batch; a repeated batch overwrites both."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows, sent = handler(batch)
+        rows.write.mode("overwrite").parquet(f"{business}/batch_id={batch_id}")
+        sent.write.mode("overwrite").parquet(f"{messages}/batch_id={batch_id}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
