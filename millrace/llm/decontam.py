@@ -189,3 +189,18 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
         "d.doc_id", "d.n_words", F.coalesce("h.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("h.items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(ids, F.lit(NO_ITEMS)).alias("items_sha256"), F.col("h.n_hit").isNotNull().alias("contaminated"),
     )
+
+
+ORACLE_SQL = r"""
+with low as (select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+w as (select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from low),
+item as (select id, w, least(len(w), 10) as n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from w where kind = 'b' and len(w) > 0),
+phrase as (select distinct id, n, array_to_string(w[s : s + n - 1], ' ') as t from item),
+size as (select distinct n from phrase),
+place as (select id, w, n, unnest(range(1, len(w) - n + 2)) as s from w, size where kind = 'd' and len(w) >= n),
+met as (select place.id as doc_id, s, place.n as n, phrase.id as item_id from place join phrase on phrase.n = place.n and phrase.t = array_to_string(w[s : s + place.n - 1], ' ')),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from met) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items from (select distinct doc_id, cast(item_id as varchar) as i from met) group by doc_id)
+select w.id as doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from w left join hit on hit.doc_id = w.id left join named on named.doc_id = w.id where kind = 'd'
+"""

@@ -256,3 +256,17 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated passages leave of every document."""
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, w, unnest(range(1, len(w) - 48)) as s from d where len(w) >= 50),
+k as (select doc_id, s, array_to_string(w[s : s + 49], ' ') as t from win),
+f as (select t, min(doc_id) as first from k group by t),
+gone as (select distinct doc_id, unnest(range(s, s + 50)) as p from k join f using (t) where first < doc_id),
+word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select w.doc_id, string_agg(x, ' ' order by w.p) as t, count(*) as n from word w
+         where not exists (select 1 from gone g where g.doc_id = w.doc_id and g.p = w.p) group by w.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id
+"""
