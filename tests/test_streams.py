@@ -20,7 +20,7 @@ def test_spool_is_polled_in_parts(spark, tmp_path):
     q.stop()
     assert [n for n in sizes if n] == [3, 3, 1]
     with pytest.raises(spool.UnsupportedSourceError):
-        spool.source_of("nats")
+        spool.source_of("nothing")
 
 
 def test_incomplete_groups_expire(spark, tmp_path):
