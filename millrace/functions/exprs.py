@@ -270,10 +270,12 @@ def _text(token: str) -> str:
 
 @dataclass
 class Expression:
-    """The value of an expression and whether it failed, as columns."""
+    """The value of an expression (null where it failed), whether it failed, and the value as written, whose
+    conjuncts the optimizer can push down."""
 
     value: Column
     err: Column
+    plain: Column
 
 
 def compile_expression(text: str, df: DataFrame, kind: str | None = None) -> Expression:
@@ -291,14 +293,15 @@ def compile_expression(text: str, df: DataFrame, kind: str | None = None) -> Exp
     right = isinstance(found, T.ArrayType) if kind == "array" else kind is None or found.simpleString() == kind
     if not right:
         raise InvalidExpressionError(f"{text!r} is {found.simpleString()}, not {kind}")
-    return Expression(F.when(~F.coalesce(err, F.lit(False)), value), F.coalesce(err, F.lit(False)))
+    failed = F.coalesce(err, F.lit(False))
+    return Expression(F.when(~failed, value), failed, value)
 
 
 def filter_expr(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages that pass, that don't, and that failed."""
     e = compile_expression(text, df, "boolean")
     truth = F.coalesce(e.value, F.lit(False))
-    return df.where(truth & ~e.err), df.where(~truth & ~e.err), df.where(e.err)
+    return df.where(e.plain & ~e.err), df.where(~truth & ~e.err), df.where(e.err)
 
 
 def transform_expr(df: DataFrame, text: str, kind: str) -> DataFrame:
