@@ -60,22 +60,18 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, th long, fp long")
 
 
-def masks(radius: int = 4) -> list[int]:
-    """The bit masks of the tables, as signed 64-bit integers."""
+def masks(radius: int = 4, step: int = 1) -> list[int]:
+    """The bit masks of the tables, as signed 64-bit integers; ``step`` chooses the mapping of bits."""
     most = (1 << radius + 1) - 1
     found = []
     for v in range(1, most + 1):
-        bits = sum(1 << i for i in range(64) if ((i % most + 1) & v).bit_count() & 1)
+        bits = sum(1 << i for i in range(64) if (((i * step + i // most * (step - 1)) % most + 1) & v).bit_count() & 1)
         found.append(bits - (1 << 64) if bits >> 63 else bits)
     return found
 
 
-def tree(fps: np.ndarray, radius: int = 4) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among distinct fingerprints.
-
-    Breadth first over what is not reached yet: in a dense bucket each step removes many, so the work is
-    near-linear there, and memory is that of the fingerprints. No list of all pairs is ever made.
-    """
+def _spread(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links, breadth first over what is not reached yet."""
     left = np.sort(fps)
     edges = []
     while len(left) > 1:
@@ -91,6 +87,42 @@ def tree(fps: np.ndarray, radius: int = 4) -> list[tuple[int, int]]:
     return edges
 
 
+def tree(fps: np.ndarray, radius: int = 4, most: int = 4096) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among distinct fingerprints; never a list of all pairs.
+
+    In a dense bucket each breadth-first step reaches many, so work is near-linear. A bucket of more than
+    ``most`` is cut again by covering masks of another mapping, which part what is not near; what is in one
+    component already is skipped. Memory is that of the fingerprints and of a forest.
+    """
+    if len(fps) <= most:
+        return _spread(fps, radius)
+    fps = np.unique(fps)
+    root = np.arange(len(fps))
+    edges = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for mask in masks(radius, 7):
+        order = np.argsort(fps & mask, kind="stable")
+        keys = (fps & mask)[order]
+        bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for i in np.flatnonzero(np.diff(bounds) > 1):
+            some = order[bounds[i] : bounds[i + 1]]
+            if (root[some] == root[some[0]]).all():
+                continue
+            for a, b in _spread(fps[some], radius):
+                x, y = find(int(np.searchsorted(fps, a))), find(int(np.searchsorted(fps, b)))
+                if x != y:
+                    edges.append((a, b))
+                    root[max(x, y)] = min(x, y)
+        while (root[root] != root).any():
+            root = root[root]
+    return edges
+
+
 def _bucket_links(radius: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by table and key; a bucket may go on in the next batch."""

@@ -35,7 +35,8 @@ def test_every_near_pair_shares_a_key(x, bits):
     y = x
     for b in bits:
         y ^= 1 << b
-    assert any((x ^ y) & (m % 2**64) == 0 for m in simhash.masks(4))
+    for step in (1, 7):
+        assert any((x ^ y) & (m % 2**64) == 0 for m in simhash.masks(4, step))
 
 
 def plain_roots(nodes, edges):
@@ -56,9 +57,19 @@ def plain_roots(nodes, edges):
 def test_tree_joins_what_links(values):
     fps = np.array(values, np.int64)
     pairs = [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4]
-    edges = simhash.tree(fps)
-    assert all((a ^ b).bit_count() <= 4 for a, b in edges)
-    assert plain_roots(values, pairs) == plain_roots(values, edges)
+    for most in (4096, 2):
+        edges = simhash.tree(fps, most=most)
+        assert all((a ^ b).bit_count() <= 4 for a, b in edges) and len(edges) < max(1, len(values))
+        assert plain_roots(values, pairs) == plain_roots(values, edges)
+
+
+def test_large_buckets_are_cut_again():
+    rng = np.random.default_rng(0)
+    sparse = rng.integers(-(2**62), 2**62, 20_000) & 0x7FFFFFFF
+    dense = np.array([5 ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(32, 62, (3000, 2))])
+    fps = np.unique(np.concatenate([sparse << 31, dense]))
+    assert len(simhash.tree(dense, most=100)) == len(np.unique(dense)) - 1
+    assert len(simhash.tree(fps, most=500)) == len(simhash._spread(fps, 4))
 
 
 def test_components_of_chains_stars_and_nothing(spark):
