@@ -78,7 +78,7 @@ def _spread(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             one = queue.pop()
-            near = np.bitwise_count(left ^ one) <= radius
+            near = np.bitwise_count((left ^ one).view(np.uint64)) <= radius  # of signed words it counts the absolute value
             if near.any():
                 found = left[near]
                 edges += [(int(one), int(x)) for x in found]

@@ -63,6 +63,18 @@ def test_tree_joins_what_links(values):
         assert plain_roots(values, pairs) == plain_roots(values, edges)
 
 
+def test_links_across_the_sign_bit():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 4):
+        for x in rng.integers(-(2**63), 2**63 - 1, 50):
+            bits = [63, *rng.choice(63, n - 1, replace=False).tolist()]
+            y = x ^ np.bitwise_or.reduce([np.uint64(1) << np.uint64(b) for b in bits]).view(np.int64)
+            for most in (4096, 1):
+                assert len(simhash.tree(np.array([x, y]), most=most)) == 1
+    far = np.array([0, np.array([0b11111 << 59], np.uint64).view(np.int64)[0]])
+    assert simhash.tree(far) == []
+
+
 def test_large_buckets_are_cut_again():
     rng = np.random.default_rng(0)
     sparse = rng.integers(-(2**62), 2**62, 20_000) & 0x7FFFFFFF
