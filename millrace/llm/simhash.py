@@ -165,8 +165,8 @@ def links(reps: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.mapInArrow(_bucket_links(radius), "a long, b long").distinct()
 
 
-def near_classes(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """``(doc_id, th, fp, component_id)`` per row: the smallest doc_id reachable over links.
+def _rooted(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
+    """``(doc_id, th, fp, root, component_id)`` per row; root is the fingerprint that names the class.
 
     Equal fingerprints are one node from the start, so a group of copies of any size costs one row.
     """
@@ -175,24 +175,31 @@ def near_classes(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFram
     roots = connected(links(reps, radius))
     named = stash(reps.join(roots, reps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     least = stash(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
-    of_fp = stash(named.join(least, "root").select("fp", "component_id"), "simhash-of")
-    joined = fps.join(of_fp, "fp", "left")
-    return joined.select("doc_id", "th", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    of_fp = stash(named.join(least, "root").select("fp", "root", "component_id"), "simhash-of")
+    return fps.join(of_fp, "fp", "left").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def near_classes(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """``(doc_id, th, fp, component_id)`` per row: the smallest doc_id reachable over links."""
+    rows = _rooted(docs, radius, shingle)
+    return rows.select("doc_id", "th", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """The rows of ``docs``, all columns kept, that stand for their class: the smallest doc_id.
 
-    Rows without a doc_id all stay. Where an id is repeated, one row of it stays at most.
+    Rows without a doc_id all stay. Of every class one row stays, also where ids are repeated: classes are
+    told apart by their root, not by an id that two of them may share.
     """
-    rows = near_classes(docs, radius, shingle).where("doc_id is not null")
-    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+    rows = _rooted(docs, radius, shingle).where("doc_id is not null")
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("one"))
     first = stash(first.select(F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th")), "simhash-first")
     ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     known = docs.where("doc_id is not null")
     kept = known.join(first, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
     if ids[0] != ids[1]:
-        kept = kept.dropDuplicates(["doc_id"])
+        # a row of the same id and text is in the same class
+        kept = kept.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
     return kept.unionByName(docs.where("doc_id is null"))
 
 

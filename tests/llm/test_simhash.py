@@ -109,3 +109,10 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_classes(docs).collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (2, 2), (3, 2), (None, None), (5, 1)], key=str)
     assert simhash.near_classes(docs.limit(0)).count() == 0
+
+
+def test_classes_that_share_their_smallest_id_each_keep_a_row(spark):
+    a, b = "one two three four five six seven", "red green blue black white grey brown"
+    rows = [(5, a), (5, b), (5, b), (9, b), (7, a), (None, a)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, a), (5, b), (None, a)], key=str)
