@@ -11,7 +11,7 @@ other than the id and the text are ignored.
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -123,14 +123,63 @@ def _key_kind(data: bytes) -> str | None:
     return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
-def _decoded(coded: str) -> Iterator[bytes]:
-    """The bytes of a base64 candidate, with and without its padding."""
-    text = coded.replace("\r", "").replace("\n", "").rstrip("=")
-    if len(text) % 4 != 1:
-        try:
-            yield base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
-        except binascii.Error:
-            return
+def _ssh_size(data: bytes) -> int | None:
+    """The bytes of the OpenSSH key that ``data`` begins with, from its lengths; None if they don't fit."""
+    at, fields = len(b"openssh-key-v1\0"), []
+    for _ in range(3):
+        fields.append(data[at + 4 : at + 4 + int.from_bytes(data[at : at + 4], "big")])
+        at += 4 + len(fields[-1])
+    # the public keys, then the private part
+    count = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    while count >= 0 and at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        count -= 1
+    at += 16 if fields[0].startswith((b"aes128-gcm", b"aes256-gcm", b"chacha20-poly1305")) else 0
+    return at if count < 0 and at <= len(data) else None
+
+
+def _base64_keys(run: str) -> Iterator[tuple[int, int, str]]:
+    """The keys in a run of base64 lines.
+
+    Further lines of letters may follow the last line of a key, or precede it: a key begins with a line and
+    ends with one, where its own lengths say, and the search goes on after it.
+    """
+    begins, ends, before = [], [], [0]
+    at = 0
+    for line in run.split("\n"):
+        begins.append(at)
+        ends.append(at + len(line.rstrip("\r")))
+        before.append(before[-1] + len(line.rstrip("\r=")))
+        at += len(line) + 1
+    letters = run.replace("\r", "").replace("\n", "").rstrip("=")
+
+    def decoded(i: int, to: int) -> bytes:
+        text = letters[before[i] : to]
+        text = text[:-1] if len(text) % 4 == 1 else text
+        return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
+
+    def line_after(i: int, size: int) -> int | None:
+        to = before[i] - (-size * 4 // 3)
+        j = bisect.bisect_left(before, to)
+        return j if j < len(before) and before[j] == to else None
+
+    i = 0
+    while i < len(begins):
+        j = kind = None
+        if before[i + 1] - before[i] >= 24:
+            if letters.startswith("b3BlbnNzaC1rZXktdjEA", before[i]):
+                if is_ssh_key(data := decoded(i, len(letters))):
+                    size = _ssh_size(data)
+                    j, kind = (size and line_after(i, size)) or len(begins), "ssh_key"
+            elif letters.startswith("M", before[i]):
+                outer = tlv(decoded(i, before[i] + 24), 0, 1 << 40)
+                j = line_after(i, outer[2]) if outer else None
+                if j and is_der_key(decoded(i, before[j])):
+                    kind = "der_key"
+        if kind:
+            yield begins[i], ends[j - 1], kind
+        i = j if kind else i + 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -144,17 +193,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates whose decoded bytes have the structure of a key or a signed token."""
     found = [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
     for m in BASE64.finditer(text):
-        whole = m[0]
-        # a line of prose may follow the last line of a key, so shorter readings are tried too
-        lines = whole.split("\n")
-        for n in range(len(lines), 0, -1):
-            part = "\n".join(lines[:n]).rstrip("\r")
-            kind = next((k for data in _decoded(part) if (k := _key_kind(data))), None)
-            if kind:
-                found.append((m.start(), m.start() + len(part), kind))
-                break
-            if n < len(lines) - 2:
-                break
+        found += [(m.start() + start, m.start() + end, kind) for start, end, kind in _base64_keys(m[0])]
     for m in HEX_ANY.finditer(text):
         if kind := _key_kind(bytes.fromhex(m[0])):
             found.append((m.start(), m.end(), kind))

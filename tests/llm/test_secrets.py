@@ -68,3 +68,21 @@ def test_odd_rows(spark):
     assert got[2].spans == "assign:2:25"
     assert got[3].spans.startswith(f"der_key:250002:{250002 + len(key)}")
     assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keys_among_lines_of_letters():
+    whole_ssh = SSH[:-40] + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"q" * 84))
+    rsa = [base64.b64encode(RSA).decode().rstrip("="), "der_key"]
+    pkcs8 = [base64.b64encode(PKCS8).decode().rstrip("="), "der_key"]
+    ssh = [base64.b64encode(whole_ssh).decode().rstrip("="), "ssh_key"]
+    words = ["apple", "pear", "plum", "cherry", "quince", "fig"]
+    for end in ("\n", "\r\n"):
+        for keys in ([rsa], [ssh], [rsa, pkcs8], [ssh, rsa], [pkcs8, ssh, rsa]):
+            for first in ([], ["a" * 40]):
+                lines, want, at = [*first], [], sum(len(x + end) for x in first)
+                for coded, kind in keys:
+                    want.append((at, at + len(end.join(coded[i : i + 64] for i in range(0, len(coded), 64))), kind))
+                    lines += [coded[i : i + 64] for i in range(0, len(coded), 64)]
+                    at = sum(len(x + end) for x in lines)
+                text = end.join([*lines, *words])
+                assert secrets.confirmed_spans(text) == want
