@@ -103,23 +103,35 @@ class ProducerRetry:
         if self.max_attempts <= 0 and self.budget <= 0:
             raise ValueError("attempts or budget must be bounded")
 
-
-def producer_schedule(df: DataFrame, failures: str, server_wait: str, policy: ProducerRetry, most_rows: int = 64) -> DataFrame:
+    def most_attempts(self) -> int | None:
+        """A number of attempts that no message exceeds; None if neither attempts nor budget over the shortest wait give one."""
+        bounds = [self.max_attempts] if self.max_attempts > 0 else []
+        shortest = self.least_wait
+        if self.backoff.initial > 0 and self.backoff.multiplier >= 1:
+            shortest = max(shortest, min(self.backoff.initial, self.backoff.most or self.backoff.initial))
+        if self.budget > 0 and shortest > 0:
+            # the one whose wait overruns is the last; one more for rounding of the sum of waits
+            bounds.append(int(self.budget / shortest) + 3)
+        return min(bounds, default=None)
+
+
+def producer_schedule(df: DataFrame, failures: str, server_wait: str, policy: ProducerRetry) -> DataFrame:
     """Every attempt of a message that fails transiently ``failures`` times: ``attempt``, ``wait`` before the
     next one, ``at`` (seconds since the first), ``result`` (``sent``, ``wait``, ``dead_letter``).
 
     A wait is the longest of backoff, the server's wish (capped) and the least wait; an attempt whose wait
-    would overrun the budget is the last. ``most_rows`` bounds attempts where the policy doesn't.
+    would overrun the budget is the last.
     """
-    limit = policy.max_attempts or most_rows
-    rows = df.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.least(F.col(failures) + 1, F.lit(limit)).cast("int"))))
+    most, attempts = policy.most_attempts(), F.col(failures).cast("long") + 1
+    rows = df.withColumn("attempt", F.explode(F.sequence(F.lit(1), (attempts if most is None else F.least(attempts, F.lit(most))).cast("int"))))
     wished = F.least(F.coalesce(F.col(server_wait), F.lit(0.0)), F.lit(policy.retry_after_cap))
     wait = F.greatest(policy.backoff.delay(F.col("attempt") - 1), wished, F.lit(policy.least_wait))
     by = Window.partitionBy("message_id").orderBy("attempt")
     rows = rows.withColumn("wait", wait).withColumn("at", F.coalesce(F.sum("wait").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     over = (F.col("at") + F.col("wait") > policy.budget) if policy.budget > 0 else F.lit(False)
     # attempts after the first one that may not wait any more don't happen
-    rows = rows.withColumn("_last", (over | (F.col("attempt") >= limit)) & (F.col("attempt") <= F.col(failures)))
+    spent = F.col("attempt") >= policy.max_attempts if policy.max_attempts > 0 else F.lit(False)
+    rows = rows.withColumn("_last", (over | spent) & (F.col("attempt") <= F.col(failures)))
     gone = F.coalesce(F.max(F.col("_last").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_gone", gone).where("_gone = 0")
     result = F.when(F.col("attempt") > F.col(failures), "sent").when(F.col("_last"), DEAD).otherwise("wait")

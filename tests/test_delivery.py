@@ -46,6 +46,15 @@ def test_producer_gives_up_before_its_budget(spark):
     assert got == {"a": [(1, 0.0, "wait"), (2, 50.0, "wait"), (3, 100.0, "dead_letter")], "b": [(1, 0.0, "wait"), (2, 1.0, "sent")], "c": [(1, 0.0, "sent")]}
 
 
+def test_only_the_policy_ends_a_schedule(spark):
+    m = spark.createDataFrame([("a", 100, None), ("b", 10**9, None)], "message_id string, fails int, wish double")
+    got = {r.message_id: r for r in settle.producer_schedule(m, "fails", "wish", ProducerRetry(Backoff(0.125, 1.0), 0, 120.0, least_wait=0.125)).where("result <> 'wait'").collect()}
+    assert (got["a"].attempt, got["a"].result) == (101, "sent")
+    assert (got["b"].attempt, got["b"]["at"], got["b"].result) == (961, 120.0, "dead_letter")
+    capped = settle.producer_schedule(m, "fails", "wish", ProducerRetry(Backoff(0.125, 1.0), 70, 120.0)).where("result <> 'wait'").collect()
+    assert {(r.message_id, r.attempt, r.result) for r in capped} == {("a", 70, "dead_letter"), ("b", 70, "dead_letter")}
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=25), st.integers(1, 4))
 def test_token_bucket_matches_a_simulation(spark, gaps, burst):
