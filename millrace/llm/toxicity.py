@@ -31,6 +31,8 @@ from .boosting import sigmoid
 MAX_ROWS = {1: 2_000, 0: 4_000}
 MAX_CHARS = 12_000
 WINDOW, STRIDE = 48, 32
+#: Windows are learned from and scored at every so many words, so that passages of up to 41 words stand whole in one.
+SCORE_STRIDE = 8
 THRESHOLD = 0.5
 DIM, HIDDEN, GRAM = 8, 8, 4
 #: Windows in a training step, and how many steps a small sample gets at least.
@@ -144,7 +146,7 @@ class Network:
         """The highest window logit of each text."""
         w = words_of(batch)
         x = self.inputs(w)[0]
-        first, size, text = windows_of(w.row, batch.num_rows)
+        first, size, text = windows_of(w.row, batch.num_rows, stride=SCORE_STRIDE)
         best = np.full(batch.num_rows, -np.inf, np.float32)
         for at in range(0, len(first), part):
             idx, mask = steps_of(w.index, first[at : at + part], size[at : at + part])
@@ -260,7 +262,7 @@ def fit(batch: pa.RecordBatch, y: np.ndarray, weight: np.ndarray, epochs: int =
     for d in "fb":
         p |= {"W" + d: small(2 * DIM, 3 * HIDDEN, scale=0.3), "U" + d: small(HIDDEN, 3 * HIDDEN, scale=0.3), "b" + d: np.zeros(3 * HIDDEN, np.float32)}
     net = Network(vocabulary, grams, p)
-    first, size, text = windows_of(w.row, len(y))
+    first, size, text = windows_of(w.row, len(y), stride=SCORE_STRIDE)
     # before any training a window's strength is that of its strongest word
     x = net.inputs(w)[0]
     strength = (x[:, 0] + x[:, DIM])[w.index] if len(w.index) else np.zeros(1)

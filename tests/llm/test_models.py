@@ -119,3 +119,13 @@ def test_odd_rows(spark):
     assert quality.score(docs, quality.learn(docs, labels)).count() == 5
     assert toxicity.score(docs, toxicity.learn(docs, labels)).count() == 5
     assert quality.keep_good(docs, quality.learn(docs, none), 0.4).count() == 5
+
+
+def test_passages_stand_whole_in_a_scored_window():
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    net = toxicity.fit(batch([" ".join(rng.choice(words, 40)) for _ in range(40)]), np.arange(40) % 2, np.ones(40), epochs=1)
+    for _ in range(20):
+        text = [str(x) for x in rng.choice(words, 200)]
+        alone = net.logits(batch([" ".join(text[i : i + toxicity.WINDOW]) for i in range(0, 152, 8)]))
+        assert net.logits(batch([" ".join(text)]))[0] >= alone.max() - 1e-4
