@@ -1,7 +1,10 @@
 """Secret scan with structural confirmation.
 
 Base findings come from three patterns. On top, base64, base64url and hex candidates are decoded and
-parsed; a span is added only where the bytes have the structure of a key or a signed token.
+parsed; a span is added only where the bytes have the structure of a key or a signed token. A key begins
+where a run of letters does, on any line, after a part of a path or after ``0x``; its own lengths say how many
+letters belong to it, and no further letter may follow on its last line. Its letters may be wrapped over
+lines, indented, separated by written-out line ends (``\\n``) or, as hex, by colons.
 
 Edge cases: a null text counts as empty and has no findings; a text is scanned whole whatever its length;
 rows with null or repeated ids are scanned like any other; an empty table gives an empty result; columns
@@ -11,7 +14,6 @@ other than the id and the text are ignored.
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import json
 import re
@@ -28,8 +30,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 TOKEN = re.compile(r"(?<![\w-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)", re.A)
-BASE64 = re.compile(r"[A-Za-z0-9+/]{24,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
-HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){20,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){20,}(?![0-9A-Za-z])")
+#: Where an encoded key may begin: a sequence of any length that starts with its version or, encrypted, with
+#: an algorithm; or the mark of an OpenSSH key.
+BASE64_START = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=[A-Za-z0-9.~][/_-])|(?<=\\n))(?:M(?:[A-H]|I[E-L])(?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjEA)")
+HEX_START = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=0x)|(?<=\\n))(?:30:?(?:[0-7][0-9a-f]|8[12])|6f:?70:?65:?6e:?73:?73:?68)", re.I)
+_GAP = r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*"
+BASE64_RUN, HEX_RUN = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+BASE64_GAP, HEX_GAP = re.compile(_GAP), re.compile(f":?{_GAP}|:")
+_URL = str.maketrans("-_", "+/")
+#: Object identifiers of password-based encryption, under which an encrypted key is kept.
+ENCRYPTED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 #: Kinds in the order in which spans that start together are listed; the first three are the base ones.
 KINDS = ("assign", "access", "hex", "jwt", "der_key", "ssh_key")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -39,6 +49,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
+_COLONS = np.zeros(256, bool)
+_COLONS[list(b"0123456789abcdefABCDEF:")] = True
 _CODED = np.zeros(256, bool)
 _CODED[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-.=")] = True
 
@@ -74,16 +86,21 @@ def elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key as RSA, EC or PKCS#8 encodings nest it: every length must agree."""
+    """A private key as RSA, DSA, EC or PKCS#8 encodings nest it, also encrypted: every length must agree."""
     whole = elements(data, 0, len(data))
     if not whole or len(whole) != 1 or whole[0][0] != 0x30:
         return False
     parts = elements(data, *whole[0][1:])
-    if not parts or len(parts) < 2 or parts[0][0] != 0x02:
+    if not parts or len(parts) < 2:
         return False
     tags = [p[0] for p in parts]
+    if tags == [0x30, 0x04]:
+        inner = elements(data, *parts[0][1:])
+        return bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]].startswith(ENCRYPTED)
+    if tags[0] != 0x02:
+        return False
     version = data[parts[0][1] : parts[0][2]]
-    if version in (b"\0", b"\1") and len(tags) >= 9 and set(tags[:9]) == {0x02}:
+    if version in (b"\0", b"\1") and (len(tags) >= 9 and set(tags[:9]) == {0x02} or version == b"\0" and tags == [0x02] * 6):
         return True
     if version == b"\1" and tags[1] == 0x04:
         return True
@@ -119,10 +136,6 @@ def is_signed_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(_json(payload), dict)
 
 
-def _key_kind(data: bytes) -> str | None:
-    return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
-
-
 def _ssh_size(data: bytes) -> int | None:
     """The bytes of the OpenSSH key that ``data`` begins with, from its lengths; None if they don't fit."""
     at, fields = len(b"openssh-key-v1\0"), []
@@ -139,47 +152,68 @@ def _ssh_size(data: bytes) -> int | None:
     return at if count < 0 and at <= len(data) else None
 
 
-def _base64_keys(run: str) -> Iterator[tuple[int, int, str]]:
-    """The keys in a run of base64 lines.
+def _gather(text: str, at: int, wanted: int, run: re.Pattern, gap: re.Pattern) -> tuple[str, int]:
+    """At most ``wanted`` letters of a coded value from ``at`` on, over gaps, and the place after the last."""
+    parts, have, end = [], 0, at
+    while have < wanted and (m := run.match(text, at)):
+        piece = m[0][: wanted - have]
+        parts.append(piece)
+        have, end = have + len(piece), m.start() + len(piece)
+        if not (g := gap.match(text, m.end())):
+            break
+        at = g.end()
+    return "".join(parts), end
 
-    Further lines of letters may follow the last line of a key, or precede it: a key begins with a line and
-    ends with one, where its own lengths say, and the search goes on after it.
-    """
-    begins, ends, before = [], [], [0]
-    at = 0
-    for line in run.split("\n"):
-        begins.append(at)
-        ends.append(at + len(line.rstrip("\r")))
-        before.append(before[-1] + len(line.rstrip("\r=")))
-        at += len(line) + 1
-    letters = run.replace("\r", "").replace("\n", "").rstrip("=")
-
-    def decoded(i: int, to: int) -> bytes:
-        text = letters[before[i] : to]
-        text = text[:-1] if len(text) % 4 == 1 else text
-        return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
-
-    def line_after(i: int, size: int) -> int | None:
-        to = before[i] - (-size * 4 // 3)
-        j = bisect.bisect_left(before, to)
-        return j if j < len(before) and before[j] == to else None
-
-    i = 0
-    while i < len(begins):
-        j = kind = None
-        if before[i + 1] - before[i] >= 24:
-            if letters.startswith("b3BlbnNzaC1rZXktdjEA", before[i]):
-                if is_ssh_key(data := decoded(i, len(letters))):
-                    size = _ssh_size(data)
-                    j, kind = (size and line_after(i, size)) or len(begins), "ssh_key"
-            elif letters.startswith("M", before[i]):
-                outer = tlv(decoded(i, before[i] + 24), 0, 1 << 40)
-                j = line_after(i, outer[2]) if outer else None
-                if j and is_der_key(decoded(i, before[j])):
+
+def _unbase64(letters: str) -> bytes:
+    letters = letters.translate(_URL)
+    letters = letters[:-1] if len(letters) % 4 == 1 else letters
+    return base64.b64decode(letters + "=" * (-len(letters) % 4), validate=True)
+
+
+def _unhex(letters: str) -> bytes:
+    return bytes.fromhex(letters[: len(letters) & ~1])
+
+
+#: How the letters of an encoding are found and read, and how many letters hold so many bytes.
+CODES = (
+    (BASE64_START, BASE64_RUN, BASE64_GAP, _unbase64, lambda size: -(-size * 4 // 3)),
+    (HEX_START, HEX_RUN, HEX_GAP, _unhex, lambda size: size * 2),
+)
+
+
+def _promising(head: bytes) -> int | None:
+    """The bytes that the sequence takes that ``head`` begins, if what it holds may be a key; else None."""
+    outer = tlv(head, 0, 1 << 40) if len(head) >= 8 else None
+    if not outer or outer[0] != 0x30 or outer[2] - outer[1] < 16:
+        return None
+    inner = head[outer[1] : outer[1] + 3]
+    return outer[2] if inner in (b"\2\1\0", b"\2\1\1") or inner[:1] == b"\x30" else None
+
+
+def _coded_keys(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys in base64, base64url or hex; the search goes on after the end of each."""
+    for start, run, gap, decoded, letters_of in CODES:
+        at = 0
+        while m := start.search(text, at):
+            s, at, kind = m.start(), m.start() + 1, None
+            head = decoded(_gather(text, s, 24, run, gap)[0])
+            if head.startswith(b"openssh"):
+                letters, end = _gather(text, s, 1 << 24, run, gap)
+                if is_ssh_key(data := decoded(letters)):
+                    kind = "ssh_key"
+                    if size := _ssh_size(data):
+                        exact = _gather(text, s, letters_of(size), run, gap)
+                        letters, end = (letters, end) if run.match(text, exact[1]) else exact
+            elif size := _promising(head):
+                letters, end = _gather(text, s, letters_of(size), run, gap)
+                if not run.match(text, end) and is_der_key(decoded(letters)[:size]):
                     kind = "der_key"
-        if kind:
-            yield begins[i], ends[j - 1], kind
-        i = j if kind else i + 1
+            if kind:
+                while run is BASE64_RUN and len(letters) % 4 and text.startswith("=", end):
+                    letters, end = letters + "=", end + 1
+                yield s, end, kind
+                at = end
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -192,12 +226,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates whose decoded bytes have the structure of a key or a signed token."""
     found = [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
-    for m in BASE64.finditer(text):
-        found += [(m.start() + start, m.start() + end, kind) for start, end, kind in _base64_keys(m[0])]
-    for m in HEX_ANY.finditer(text):
-        if kind := _key_kind(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), kind))
-    return found
+    return found + list(_coded_keys(text))
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
@@ -212,7 +241,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, offsets = column(batch, "text")
             n = batch.num_rows
             marked = np.zeros(n, bool)
-            for kind, least in ((_HEX, 16), (_CODED, 20)):
+            for kind, least in ((_HEX, 16), (_COLONS, 40), (_CODED, 20)):
                 s, e, row = runs(kind[raw], offsets)
                 marked[row[e - s >= least]] = True
             lowered = _LOWER[raw].tobytes()

@@ -3,6 +3,8 @@ import hashlib
 import json
 import re
 
+import pyarrow as pa
+
 from millrace.llm import secrets
 
 
@@ -86,3 +88,38 @@ def test_keys_among_lines_of_letters():
                     at = sum(len(x + end) for x in lines)
                 text = end.join([*lines, *words])
                 assert secrets.confirmed_spans(text) == want
+
+
+EC = der(0x30, number(1) + der(4, b"k" * 32) + der(0xA0, der(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
+ED25519 = der(0x30, b"\x02\x01\x00" + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, b"s" * 32)))
+DSA = der(0x30, b"\x02\x01\x00" + b"".join(number(7**k) for k in (90, 50, 90, 88, 49)))
+ENCRYPTED = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, b"")) + der(4, b"\x9c" * 120))
+DIGEST = der(0x30, der(0x30, der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01") + der(5, b"")) + der(4, b"h" * 32))
+
+
+def wrapped(text, n, end):
+    return end.join(text[i : i + n] for i in range(0, len(text), n))
+
+
+def test_every_form_of_a_key_is_found_where_it_stands():
+    for key in (RSA, PKCS8, EC, ED25519, DSA, ENCRYPTED):
+        plain = base64.b64encode(key).decode()
+        url = base64.urlsafe_b64encode(key).decode()
+        hexed = key.hex()
+        mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(hexed))
+        forms = [plain, plain.rstrip("="), url, url.rstrip("="), wrapped(plain, 64, "\n"), wrapped(plain, 76, "\r\n    "), wrapped(plain, 64, "\\n")]
+        forms += [hexed, hexed.upper(), mixed, wrapped(hexed, 64, "\n"), wrapped(hexed, 60, "\n  "), wrapped(hexed, 2, ":")]
+        for form in forms:
+            for before in ("", "é ", "x" * 40 + "\n", "path/to/", "key=", '"', "  ", "-----BEGIN KEY-----\n", "-----BEGIN KEY-----\\n"):
+                if before == "path/to/" and form.lower().startswith("30"):
+                    before = "0x"
+                for after in ("", "\nword\nword\n", '"', "\n" + "y" * 30, "."):
+                    got = secrets.confirmed_spans(before + form + after)
+                    assert got == [(len(before), len(before) + len(form), "der_key")], (before, form, after)
+            whole = secrets._scan(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some text " + form]})]))
+            assert next(whole).column("spans")[0].as_py().count(f"der_key:10:{10 + len(form)}") == 1
+    assert not secrets.confirmed_spans(base64.b64encode(DIGEST).decode() + " " + DIGEST.hex())
+
+
+def test_many_starts_cost_little():
+    assert secrets.confirmed_spans("MIIJQgIBADANBgkqhkiG9w0BAQEF" * 20_000 + " " + "3082094202010030" * 20_000) == []
