@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 
@@ -21,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, local mode) a temporary one is made.
+    Only where the session names none and runs on this machine alone (tests, local mode) a temporary one is
+    made; on a cluster a folder of the driver's would be another one on every executor, so there it raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
     return _own_dir[0]
@@ -34,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, outlives executors.
 
-    The files go when the driver ends.
+    The files go when the driver ends, or earlier by ``drop_stashes``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
@@ -44,14 +48,28 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def drop_stashes() -> None:
+    """Delete what has been stashed so far; results that were read from it can't be computed any more."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended; nothing is left to do
-            return
+        except Exception as e:  # the session has ended, or the store is gone; the other paths may still go
+            logging.getLogger(__name__).debug("%s stays: %s", path, e)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, made from ``names``."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def let(value: Column, body) -> Column:

@@ -1,14 +1,16 @@
 """Mixing sources to target weights: Sainte-Laguë quotas of equal-token blocks, then seeded selection.
 
 The documents of a source follow one another in a seeded order; that stream of words is cut in blocks of
-equal size. Blocks go to sources by the highest quotients target / (2 q + 1); as the method never takes a
-block back when more are dealt, the quota of an output shard is the difference of two such allocations.
-A source takes all its blocks as often as its quota holds them, and of the rest a run of blocks (on a ring)
-from a seeded start, so all documents but two of a source are taken whole.
+equal size, so small that the least target has ``LEAST_PER_SOURCE`` of them, down to single words. Blocks go
+to sources by the highest quotients target / (2 q + 1); as the method never takes a block back when more are
+dealt, the quota of an output shard is the difference of two such allocations. A source takes all its words
+as often as its quota holds them, and of the rest a run of blocks (on a ring) from a seeded start, so all
+documents but two of a source are taken whole.
 
 Edge cases: a null text has no words; documents without words take none; the null source is a source of its
-own, last in order; repeated rows are separate documents; an empty table gives an empty result; only sums
-by source come to the driver.
+own, last in order; repeated rows are separate documents; an empty table gives an empty result; of other
+columns ``mix`` returns none and ``mixed_documents`` all, whatever their names. Only one sum per source comes
+to the driver; quotas take a few vector operations over them, however many.
 """
 
 from __future__ import annotations
@@ -18,15 +20,17 @@ import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stash, table
+from ._common import stash, table, unused
 from ._ordered import before
 
 SEED = 20
 BLOCK_WORDS = 256
 LEAST_BLOCKS = 20_000
+LEAST_PER_SOURCE = 200
 SHARDS = 8
 MOST_TIMES = 3
 WEIGHTS = (1, 2, 3)
@@ -34,39 +38,67 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: list[int], weights: list[int], most_times: int = MOST_TIMES) -> list[float]:
-    """Shares of the sum of ``sizes`` by weight; none above ``most_times`` its size, the excess reshared."""
-    found = [0.0] * len(sizes)
-    free, left = list(range(len(sizes))), float(sum(sizes))
-    while free:
-        per = left / sum(weights[i] for i in free)
-        above = [i for i in free if per * weights[i] > most_times * sizes[i]]
-        for i in above:
-            found[i] = float(most_times * sizes[i])
-            left -= found[i]
-        if not above:
-            for i in free:
-                found[i] = per * weights[i]
-            break
-        free = [i for i in free if i not in set(above)]
-    return found
+    """Shares of the sum of ``sizes`` by weight; none above ``most_times`` its size, the excess reshared.
+
+    A source stops where the share of one unit of weight exceeds its size over its weight; sources in that
+    order, the first at which the rest can be shared freely ends the stopped ones.
+    """
+    s, w = np.array(sizes, float), np.array(weights, float)
+    if not len(s) or not s.sum():
+        return [0.0] * len(s)
+    order = np.argsort(s / w, kind="stable")
+    left = s.sum() - most_times * np.concatenate([[0.0], np.cumsum(s[order])])
+    share = w.sum() - np.concatenate([[0.0], np.cumsum(w[order])])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        per = left[:-1] / share[:-1]
+    free = np.flatnonzero(per * w[order] <= most_times * s[order])
+    found = most_times * s
+    if len(free):
+        rest = order[free[0] :]
+        found[rest] = np.minimum(per[free[0]] * w[rest], most_times * s[rest])
+    return found.tolist()
 
 
 def sainte_lague(votes: list[float], seats: int) -> list[int]:
     """Seats by the highest quotients votes / (2 q + 1); of equal quotients the first goes first.
 
-    The seats that every source has for certain are dealt at once, so time doesn't depend on ``seats``.
+    Rounding by the divisor total / seats gives the highest quotients for some number of seats near the one
+    wanted: the few that are missing or too many are then dealt or taken back one by one, so time depends
+    neither on ``seats`` nor on more than about half the number of sources.
     """
+    v = np.array(votes, float)
     total = math.fsum(votes)
     if total <= 0 or seats <= 0:
         return [0] * len(votes)
-    quota = [max(0, math.floor(v * seats / total) - len(votes)) for v in votes]
-    heap = [(-v / (2 * q + 1), i) for i, (v, q) in enumerate(zip(votes, quota)) if v > 0]
-    heapq.heapify(heap)
-    for _ in range(seats - sum(quota)):
-        _, i = heap[0]
+    quota = np.floor(v * (seats / total) + 0.5).astype(np.int64)
+    give = [(-v[i] / (2 * quota[i] + 1), i) for i in np.flatnonzero(v > 0)]
+    take = [(v[i] / (2 * quota[i] - 1), -i) for i in np.flatnonzero(quota > 0)]
+    heapq.heapify(give)
+    heapq.heapify(take)
+
+    def more() -> None:
+        while give[0][0] != -v[give[0][1]] / (2 * quota[give[0][1]] + 1):
+            heapq.heapreplace(give, (-v[give[0][1]] / (2 * quota[give[0][1]] + 1), give[0][1]))
+        _, i = give[0]
         quota[i] += 1
-        heapq.heapreplace(heap, (-votes[i] / (2 * quota[i] + 1), i))
-    return quota
+        heapq.heapreplace(give, (-v[i] / (2 * quota[i] + 1), i))
+        heapq.heappush(take, (v[i] / (2 * quota[i] - 1), -i))
+
+    def less() -> None:
+        while quota[-take[0][1]] <= 0 or take[0][0] != v[-take[0][1]] / (2 * quota[-take[0][1]] - 1):
+            heapq.heappop(take)
+        _, i = heapq.heappop(take)
+        quota[-i] -= 1
+        heapq.heappush(give, (-v[-i] / (2 * quota[-i] + 1), -i))
+        if quota[-i] > 0:
+            heapq.heappush(take, (v[-i] / (2 * quota[-i] - 1), i))
+
+    # rounding may have met a tie either way, so one more is dealt and taken back
+    for _ in range(max(0, seats - int(quota.sum())) + 1):
+        more()
+    while quota.sum() > seats:
+        less()
+    return quota.tolist()
 
 
 @dataclass
@@ -89,26 +121,27 @@ def plan(sums: dict[str | None, int], seed: int = SEED, shards: int = SHARDS) ->
     names = sorted((s for s in sums if s is not None)) + ([None] if None in sums else [])
     sizes = [sums[s] for s in names]
     goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))])
-    block = max(1, min(BLOCK_WORDS, sum(sizes) // LEAST_BLOCKS))
+    least = min((g for g in goal if g > 0), default=0)
+    block = max(1, min(BLOCK_WORDS, sum(sizes) // LEAST_BLOCKS, int(least // LEAST_PER_SOURCE)))
     seats = round(sum(sizes) / block)
     steps = [sainte_lague(goal, seats * (k + 1) // shards) for k in range(shards)]
     plans = []
     for i, name in enumerate(names):
-        blocks = -(-sizes[i] // block)
-        quota = min(steps[-1][i], MOST_TIMES * blocks)
-        times, rest = divmod(quota, blocks) if blocks else (0, 0)
-        first = (seed * 2654435761 + i * 40503) % blocks if blocks else 0
-        # as the last block may be short, the run is measured in words from its first block's start
-        start = first * block
-        by_shard = [min(b[i], quota) - (min(a[i], quota) if a else 0) for a, b in zip([None, *steps[:-1]], steps)]
-        plans.append(Plan(name, sizes[i], goal[i], quota, by_shard, times, start, start + rest * block if rest else start))
+        size, quota = sizes[i], steps[-1][i]
+        # quotas count words from here on: the last block of a source may be short
+        words = min(quota * block, MOST_TIMES * size)
+        times, rest = divmod(words, size) if size else (0, 0)
+        blocks = -(-size // block)
+        start = ((seed * 2654435761 + i * 40503) % blocks) * block if blocks else 0
+        by_shard = [b[i] - (a[i] if a else 0) for a, b in zip([None, *steps[:-1]], steps)]
+        plans.append(Plan(name, size, goal[i], quota, by_shard, times, start, start + rest))
     return block, plans
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Add to the rows of ``docs(doc_id, text, source, ...)``: size, source_size, target, taken, and
-    ``times`` with the words ``[cut_from, cut_to)`` and ``[0, wrap_to)`` that one more pass takes, and
-    ``shards`` with the output shard of each pass.
+    """``(doc_id, source, size, th, at, source_size, target, times, cut_from, cut_to, wrap_to, shards, taken)``
+    of every row of ``docs(doc_id, text, source)``: ``times`` the whole text, once more the words
+    ``[cut_from, cut_to)`` and ``[0, wrap_to)``, and ``shards`` with the output shard of each pass.
 
     One pass over the texts counts words; then only ids and sizes are shuffled, evenly whatever the
     largest source.
@@ -116,16 +149,19 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return _placed(sized(docs, seed), seed)
 
 
-def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Ids, sources and sizes of ``docs``, with the hash that orders a source; th tells texts apart."""
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+def sized(docs: DataFrame, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """Ids, sources and sizes of ``docs``, with the hash that orders a source; th tells texts apart, and so
+    does ``row``, if given, with equal rows."""
+    th = F.xxhash64("text")
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), th))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), h.alias("h"), F.xxhash64("text").alias("th")), "mix-sizes")
+    more = [] if row is None else [row.cast("long").alias("row")]
+    return stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), h.alias("h"), th.alias("th"), *more), "mix-sizes")
 
 
 def _placed(rows: DataFrame, seed: int) -> DataFrame:
     spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row a source
     block, plans = plan({r.source: r["size"] for r in found}, seed)
     known = spark.createDataFrame(
         [(p.source, p.size, p.target, p.times, p.start, p.stop, [b * block for b in itertools.accumulate(p.by_shard)]) for p in plans],
@@ -158,23 +194,30 @@ def _placed(rows: DataFrame, seed: int) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it is taken whole, and once
     more with the words of a part; documents of which nothing is taken are left out.
+
+    Documents and what is taken of them meet by id; where ids repeat, the rows are numbered in a written
+    table first, so rows that differ in other columns only keep their own.
     """
-    taken = mix(docs, seed).where("taken > 0")
-    how = F.struct("times", "cut_from", "cut_to", "wrap_to", "size")
-    by = taken.groupBy("doc_id", "th", "source").agg(F.collect_list(how).alias("_how"))
-    by = stash(by.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("source").alias("_source"), "_how"), "mix-taken")
     n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    # equal rows come back through the list of what is taken of each
-    once = docs if n == ids else docs.dropDuplicates(["doc_id", "text", "source"])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = once.join(by, same).withColumn("_one", F.explode("_how")).drop("_doc", "_th", "_source", "_how")
-    cut = F.col("_one.cut_to") - F.col("_one.cut_from")
+    names = docs.columns
+    doc, one, row = unused(docs, "doc", "one", "row")
+    key = F.col("doc_id").cast("long")
+    if n != ids:
+        docs, key = stash(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows"), F.col(row)
+    taken = _placed(sized(docs, seed, key), seed)
+    how = F.struct("times", "cut_from", "cut_to", "wrap_to", "size").alias(one)
+    by = stash(taken.where("taken > 0").select(F.col("row").alias(doc), how), "mix-taken")
+    rows = docs.join(by, key == F.col(doc))
+    how = {c: F.col(f"{one}.{c}") for c in ("times", "cut_from", "cut_to", "wrap_to", "size")}
+    cut = how["cut_to"] - how["cut_from"]
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-    part = F.array_join(F.concat(F.slice(words, 1, F.col("_one.wrap_to").cast("int")), F.slice(words, (F.col("_one.cut_from") + 1).cast("int"), cut.cast("int"))), " ")
-    part = F.when(cut == F.col("_one.size"), F.col("text")).when(cut + F.col("_one.wrap_to") > 0, part)
-    texts = F.concat(F.array_repeat("text", F.col("_one.times").cast("int")), F.array_compact(F.array(part)))
-    rows = rows.withColumn("_text", F.explode(texts)).withColumn("text", F.col("_text"))
-    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    part = F.array_join(F.concat(F.slice(words, 1, how["wrap_to"].cast("int")), F.slice(words, (how["cut_from"] + 1).cast("int"), cut.cast("int"))), " ")
+    part = F.when(cut == how["size"], F.col("text")).when(cut + how["wrap_to"] > 0, part)
+    texts = F.concat(F.array_repeat("text", how["times"].cast("int")), F.array_compact(F.array(part)))
+    rows = rows.withColumn(doc, F.explode(texts)).withColumn("text", F.col(doc))
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.select(*[f"`{c}`" for c in names])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from millrace.llm import mixing
 
 
@@ -90,3 +93,47 @@ def test_the_mix_follows_what_is_taken(spark):
         assert r.n_chars == len(r.text)
     assert got == Counter({k: v for k, v in want.items() if v})
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_small_sources_come_near_their_targets_too(spark):
+    rows, k = [], 0
+    for n in [*range(1, 12), 60, 100, 255, 256, 257, 300]:
+        for i in range(n):
+            rows.append((k, "w", f"small{n:03}"))
+            k += 1
+    rows += [(k + i, " ".join(["x"] * 1000), f"big{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {}
+    for r in mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t"), F.max(F.expr("taken - 3 * size")).alias("over")).collect():
+        got[r.source] = (r.n, r.t)
+        assert r.over <= 0
+    assert len(got) == 20
+    for n, t in got.values():
+        assert abs(n - t) <= max(1, 0.01 * t)
+
+
+def test_many_sources_take_a_moment():
+    rng = np.random.default_rng(0)
+    votes = (rng.pareto(1, 50_000) * 1000).tolist()
+    quota = mixing.sainte_lague(votes, 10**9)
+    assert sum(quota) == 10**9
+    last = min(v / (2 * q - 1) for v, q in zip(votes, quota) if q)
+    assert max(v / (2 * q + 1) for v, q in zip(votes, quota)) <= last
+
+
+def test_repeated_ids_keep_their_own_columns(spark):
+    rows = [(1, "a b c", "s", "x"), (1, "a b c", "s", "y"), (1, "d", "s", "z"), (None, "q r", None, "n"), (None, "q r", None, "m")]
+    df = spark.createDataFrame([(*r, 0, "keep") for r in rows], "doc_id long, text string, source string, doc string, row int, one string")
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns
+    per = Counter((r.doc_id, r.source, r.doc) for r in got.collect())
+    assert set(per) <= {(r[0], r[2], r[3]) for r in rows} and all(r.one == "keep" for r in got.collect())
+    words = Counter()
+    for r in got.collect():
+        words[r.doc_id, r.source] += len(r.text.split())
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r.doc_id, r.source] += r.taken
+    assert words == want
+    by_column = mixing.mix(df).count()
+    assert by_column == len(rows)
