@@ -8,8 +8,9 @@ entries. The likeness of two fingerprints is the share of bins with equal entrie
 either has.
 
 Edge cases: a null text counts as empty and has an empty fingerprint; two empty fingerprints have the
-likeness 1; a text of fewer words than k has shorter k-mers; documents follow each other by doc_id (nulls
-last), then text, and the first follows the last, so a single document follows itself; repeated rows are
+likeness 1; a text of fewer words than k has shorter k-mers, and one of any length that Spark can hold is
+fingerprinted whole; documents follow each other by doc_id (nulls last), then by the first bytes and the hash
+of the text, and the first follows the last, so a single document follows itself; repeated rows are
 documents of their own; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,14 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import let, stash, table
+from ._common import let, table
 
 BINS_LOG2, PICKED = 6, 2
-POSITION_BITS = 24
+#: A value holds 32 bits of a hash above a position in the text, so that no array of words is too long.
+POSITION_BITS = 31
 _POSITION = (1 << POSITION_BITS) - 1
 _BIN_SHIFT = 63 - BINS_LOG2
 _ENTRY_BITS = 26
-BLOCK_ROWS = (512, 16_384)
+#: Documents in a block on average at least, blocks at most, and how many keys are drawn for each bound of a block.
+BLOCK_ROWS, MOST_BLOCKS, DRAWN = 512, 16_384, 8
 
 
 def _hash_part(v: Column) -> Column:
@@ -75,7 +78,6 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     def entry(v: Column, i: Column) -> Column:
         one, other = v.bitwiseAND(F.lit(_POSITION)), F.get(c, i - 1).bitwiseAND(F.lit(_POSITION))
-        # positions are counted modulo 2^24; the hash is that of the k-mer there
         at = lambda p: _hash_part(F.get(h, p.cast("int")))
         pair = (i > 0) & (_bin(F.get(c, i - 1)) == _bin(v))
         tuple_hash = F.when(pair, F.xxhash64(at(F.least(one, other)), at(F.greatest(one, other)))).otherwise(F.xxhash64(at(one)))
@@ -98,30 +100,59 @@ def as_text(entries: str) -> Column:
     return F.lower(F.array_join(F.transform(entries, lambda v: F.lpad(F.hex(v), 8, "0")), ""))
 
 
+def _keys(docs: DataFrame) -> DataFrame:
+    """Add ``gone``, ``id``, ``head`` and ``th``, by which documents follow each other."""
+    head = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return docs.withColumns({"gone": F.col("doc_id").isNull().cast("long"), "id": F.coalesce("doc_id", F.lit(0).cast("long")), "head": head, "th": F.xxhash64("text")})
+
+
+KEY = ("gone", "id", "head", "th")
+
+
+def bounds(docs: DataFrame, n: int, rows: int = BLOCK_ROWS, most: int = MOST_BLOCKS) -> list[tuple[int, ...]]:
+    """The keys of the documents with which blocks but the first begin, in order: every ``DRAWN``-th of keys
+    drawn by hash. At most about ``DRAWN * MOST_BLOCKS`` keys come to the driver."""
+    blocks = min(max(n // rows, 1), most)
+    if blocks < 2:
+        return []
+    drawn = docs.where(F.pmod(F.xxhash64(F.lit(1), *KEY), F.lit(max(n // (blocks * DRAWN), 1))) == 0)
+    keys = sorted(tuple(r) for r in drawn.select(*KEY).distinct().collect())
+    return keys[DRAWN::DRAWN]
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """``(block, guest, doc_id, text)`` dealt by block, where each block of consecutive documents ends with a
-    guest: the document that follows the block's last one.
+    """``(block, guest, doc_id, text, gone, id, head, th)``: documents in blocks of consecutive ones, each
+    block with a guest at its end: the document that follows the block's last one.
 
-    Blocks are ranges of ids of 512 to 16,384 documents on average; only the guests' keys are joined.
+    Bounds of blocks are keys of documents drawn evenly from all, so that neither gaps between ids nor ids
+    shared by many documents make a block large. A document that begins a block is the guest of the block
+    before; nothing is joined.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    rows = min(max(n // 4096, BLOCK_ROWS[0]), BLOCK_ROWS[1])
-    shift = max(0, ((high - low + 1) * rows // max(n, 1)).bit_length() - 1)
-    # documents without an id come after all others
-    docs = docs.withColumn("block", F.coalesce(F.shiftright("doc_id", shift), F.lit((high >> shift) + 1).cast("long")))
-    firsts = stash(docs.groupBy("block").agg(F.min("doc_id").alias("first_id")), "omh-firsts")
-    inside = Window.partitionBy("part").orderBy("block")
-    firsts_in = firsts.withColumn("part", F.shiftright("block", 10))
-    parts = firsts_in.groupBy("part").agg(F.min("block").alias("start")).withColumn("after", F.lead("start").over(Window.orderBy("part")))
-    begin = firsts.agg(F.min("block")).first()[0]
-    follows = firsts_in.withColumn("near", F.lead("block").over(inside)).join(parts, "part")
-    follows = follows.select(F.col("block").alias("of"), F.coalesce("near", "after", F.lit(begin).cast("long")).alias("following"))
-    heads = docs.alias("d").join(firsts.alias("f"), F.expr("d.block = f.block and d.doc_id <=> f.first_id"))
-    heads = heads.groupBy("d.block", "d.doc_id").agg(F.min("d.text").alias("text"))
-    guests = heads.join(follows, F.col("block") == F.col("following")).select(F.col("of").alias("block"), F.lit(1).alias("guest"), "doc_id", "text")
-    return docs.select("block", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests)
+    docs = _keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    n, first = docs.agg(F.count("*"), F.min(F.struct(*KEY))).first()
+    cuts = bounds(docs, n)
+    block, begins = F.lit(0), F.lit(False)
+    if cuts:
+        # one constant array for each part of the key; a block is found by binary search
+        lists = [F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast("array<bigint>") for i in range(len(KEY))]
+        at = lambda i: F.struct(*[F.get(x, i).alias(k) for x, k in zip(lists, KEY)])
+        own = F.struct(*KEY)
+        steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+        found = F.aggregate(
+            steps,
+            F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")),
+            lambda a, _: let(
+                F.shiftright(a["low"] + a["high"], 1),
+                lambda mid: F.when((mid < a["high"]) & (at(mid) <= own), F.struct((mid + 1).alias("low"), a["high"].alias("high"))).otherwise(F.struct(a["low"].alias("low"), mid.alias("high"))),
+            ),
+        )["low"]
+        docs = docs.withColumn("block", found)
+        block = F.col("block")
+        begins = (block > 0) & (at(block - 1) == own)
+    place = lambda b, guest: F.struct(b.cast("int").alias("block"), F.lit(guest).alias("guest"))
+    is_first = F.struct(*KEY) == F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip(KEY, first or (0, 0, 0, 0))])
+    places = F.array_compact(F.array(place(block, 0), F.when(begins, place(block - 1, 1)), F.when(is_first, place(F.lit(len(cuts)), 1))))
+    return docs.withColumn("place", F.explode(places)).select("place.block", "place.guest", "doc_id", "text", *KEY)
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
@@ -129,14 +160,14 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
     One shuffle of the texts, by block; nothing else is exchanged after it.
     """
-    order = Window.partitionBy("block").orderBy("guest", F.asc_nulls_last("doc_id"), "text")
+    order = Window.partitionBy("block").orderBy("guest", *KEY, "text")
     rows = with_next(docs).withColumn("following", F.lead("text").over(order))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("following", F.lit("")), F.lit(1), half))
     rows = rows.withColumn("edited", edited).drop("following")
     rows = with_fingerprint(with_fingerprint(rows, "text", "fp"), "edited", "edited_fp")
-    rows = rows.select("block", "guest", "doc_id", "text", "fp", "edited_fp", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    rows = rows.select("block", "guest", "doc_id", *KEY, "text", "fp", "edited_fp", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     rows = rows.withColumn("next_fp", F.lead("fp").over(order)).where("guest = 0")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"),

@@ -33,11 +33,12 @@ def plain_entries(spark, text):
     k = max(len(words) - 2, min(len(words), 1))
     hash_of = lambda *a: spark.range(1).select(F.xxhash64(*a)).first()[0] % 2**64
     long, lit = lambda x: F.lit(x).cast("bigint"), F.lit
-    kmers = [hash_of(*map(lit, words[i : i + 3])) >> 25 for i in range(k)]
-    ranked = sorted((((hash_of(long(h), lit(kmers[:i].count(h))) >> 25) << 24) | i) for i, h in enumerate(kmers))
+    # 32 bits of a hash above 31 of a position
+    kmers = [hash_of(*map(lit, words[i : i + 3])) >> 32 for i in range(k)]
+    ranked = sorted((((hash_of(long(h), lit(kmers[:i].count(h))) >> 32) << 31) | i) for i, h in enumerate(kmers))
     bins = {}
     for v in ranked:
-        bins.setdefault(v >> 57, []).append(v & (2**24 - 1))
+        bins.setdefault(v >> 57, []).append(v & (2**31 - 1))
     return [(b << 26) | (hash_of(*[long(kmers[p]) for p in sorted(at[:2])]) >> 38) for b, at in sorted(bins.items())]
 
 
@@ -56,6 +57,42 @@ def test_order_matters(spark):
     assert df.select(omh.likeness("fa", "fa").alias("v")).first().v == 1
 
 
+def plain_likeness(a, b):
+    one, other = ({x >> 26: x for x in v} for v in (a, b))
+    both = set(one) | set(other)
+    return sum(one.get(k) == other.get(k) for k in both) / len(both) if both else 1.0
+
+
+def test_likeness_is_that_of_the_entries(spark, sf_dir):
+    read = lambda s: [int(s[i : i + 8], 16) for i in range(0, len(s), 8)]
+    rows = sorted(omh.op3_order_minhash(spark, sf_dir).collect(), key=lambda r: r.doc_id)
+    for r, after in zip(rows, rows[1:] + rows[:1]):
+        assert abs(r.near_edited - plain_likeness(read(r.fingerprint), read(r.edited_fingerprint))) < 1e-12
+        assert abs(r.near_next - plain_likeness(read(r.fingerprint), read(after.fingerprint))) < 1e-12
+
+
+def test_blocks_stay_even_and_lose_no_successor(spark, monkeypatch):
+    monkeypatch.setattr(omh, "bounds", lambda docs, n, real=omh.bounds: real(docs, n, 50, 64))
+    rows = [(i, f"text {i}") for i in range(1000)] + [(2**60, "far away")] + [(None, f"no id {i}") for i in range(700)] + [(5000, f"shared {i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = omh.with_next(df).collect()
+    size = {}
+    for r in placed:
+        size[r.block] = size.get(r.block, 0) + (r.guest == 0)
+    assert len(placed) == len(rows) + len(size) and sum(size.values()) == len(rows)
+    assert len(size) > 25 and max(size.values()) < 200
+    whole = sorted((tuple(r[k] for k in omh.KEY), r.text) for r in placed if not r.guest)
+    after = {a[1]: b[1] for a, b in zip(whole, whole[1:] + whole[:1])}
+    by_block = {}
+    for r in placed:
+        by_block.setdefault(r.block, []).append((r.guest, tuple(r[k] for k in omh.KEY), r.text))
+    for block in by_block.values():
+        block.sort()
+        assert block[-1][0] == 1
+        for a, b in zip(block, block[1:]):
+            assert after[a[2]] == b[2]
+
+
 def test_odd_rows(spark):
     one = pairs(spark, [(7, "abcdef")])
     assert one[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and one[0].near_next == 1
