@@ -58,10 +58,39 @@ def test_large_vocabularies_are_joined_by_shuffle(spark, monkeypatch):
     assert {(r.doc_id, r.pos) for r in index.collect()} == {(1, 1), (1, 2), (1, 3), (2, 0), (2, 1)}
 
 
+def plain_near(docs, items, window=10, span=20):
+    phrases = {tuple(w[s : s + window]) for w in (words_of(t) for _, t in items) if w for s in range(max(1, len(w) - window + 1))}
+    out = []
+    for d, text in docs:
+        w = words_of(text)
+        near = {p for s in range(max(1, len(w) - span + 1)) for there in [set(w[s : s + span])] for p in phrases if there.issuperset(p)}
+        out.append((d, len(near)))
+    return out
+
+
 def test_proximity(spark):
-    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "gamma x alpha y beta"), (2, "alpha x x x x x beta gamma"), (3, "beta alpha"), (4, "x gamma beta alpha x")], "doc_id long, text string")
-    windows = decontam.item_windows(items)
-    index = decontam.build_index(docs, decontam.vocabulary(windows))
-    got = {(r.doc_id, r.first, r.last) for r in decontam.proximity_matches(index, windows, 5).collect()}
-    assert got == {(1, 0, 4), (4, 1, 3)}
+    items = [(1, "alpha beta gamma"), (2, "one one two"), (3, "solo"), (4, None), (5, " ".join(f"w{i}" for i in range(12)))]
+    docs = [(1, "gamma x alpha y beta"), (2, "alpha " + "x " * 17 + "beta gamma"), (3, "beta alpha"), (4, "alpha " + "x " * 18 + "beta gamma"), (5, "two ONE"), (6, "two"), (6, "Solo"), (None, None)]
+    docs += [(7, " ".join(f"w{i}" for i in range(11, -1, -1))), (8, "x " * 100 + "w9 w8 w7 w6 w5 y w4 w3 w2 w1 w0 " + "gamma beta beta beta " * 9 + "alpha"), (9, "beta " * 30 + "gamma " + "beta " * 18 + "alpha gamma")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(d, b, span=20).collect()
+    want = [(i, n, h) for (i, n), (_, _, h, _) in zip(plain_near(docs, items), plain(docs, items)) if n or h]
+    assert sorted(((r.doc_id, r.n_near, r.n_hit) for r in got), key=str) == sorted(want, key=str)
+    assert {(i, n > 0) for i, n in plain_near(docs, items)} >= {(1, True), (2, True), (4, False), (7, True), (8, True)}
+
+
+def test_proximity_over_the_table(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(8).collect()]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.n_near for r in decontam.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), b, span=20).collect()}
+    assert {k: v for k, v in got.items() if v} == {d: n for d, n in plain_near(docs, items) if n}
+
+
+def test_an_index_serves_any_test(spark):
+    docs = spark.createDataFrame([(1, "red green blue"), (2, "blue"), (3, None)], "doc_id long, text string")
+    index = decontam.build_index(docs)
+    assert {(r.doc_id, r.n_words) for r in decontam.lengths(index).collect()} == {(1, 3), (2, 1), (3, 0)}
+    for text, want in (("green blue", {1}), ("blue", {1, 2})):
+        items = spark.createDataFrame([(1, text)], "item_id long, text string")
+        assert {r.doc_id for r in decontam.contamination(docs, items, index=index).collect()} == want
