@@ -29,7 +29,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as messages."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     payload = F.struct(F.col("event_type").alias("type"), F.col("value"))
-    return new(df, payload, F.col("event_id"), F.col("ts"), F.from_json("props", HEADERS), F.col("user_id"))
+    return new(df, payload, F.col("event_id"), F.col("ts"), json_map(F.col("props")), F.col("user_id"))
+
+
+def json_text(value: Column) -> Column:
+    """A value as JSON text, ``null`` for none."""
+    text = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def json_map(text: Column) -> Column:
+    """The fields of a JSON object as JSON texts, whatever their types; null where it is no object.
+
+    The text is parsed once; what isn't JSON gives null as well.
+    """
+    return F.transform_values(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
 
 
 def header(headers: Column, key: str) -> Column:
@@ -55,7 +69,8 @@ def header_time(headers: Column, key: str) -> Column:
 
 
 def with_header(headers: Column, key: str, value: Column) -> Column:
-    return F.map_concat(without_headers(headers, [key]), F.create_map(F.lit(key), F.to_json(F.struct(value.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(value.alias("v")))) - 6)))
+    """The headers with one more; a null value is the JSON null."""
+    return F.map_concat(without_headers(headers, [key]), F.create_map(F.lit(key), json_text(value)))
 
 
 def without_headers(headers: Column, keys: list[str]) -> Column:
@@ -73,31 +88,45 @@ def with_payload(df: DataFrame, payload: Column) -> DataFrame:
 
 
 def encode_headers(df: DataFrame) -> Column:
-    """All headers of a message, reserved ones too, as one JSON object with sorted keys."""
-    text = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
-    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """All headers of a message, reserved ones too, as one JSON object with sorted keys; nanoseconds of a
+    time that microseconds can't hold are lost before."""
+    time = F.regexp_replace(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", "")
+    time = F.concat(F.when(F.date_format("ts", "SSSSSS") == "000000", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(time), F.lit("Z"))
+    present = lambda c: (c.isNotNull() & (c.cast("string") != ""))
     values = {
-        "message-id": text(F.col("message_id")), "timestamp": text(time), "content-type": text(F.col("content_type")), "correlation-id": text(F.col("correlation_id")),
-        "delivery-count": F.col("delivery_count").cast("string"), "sequence-number": F.col("sequence_number").cast("string"), "sequence-size": F.col("sequence_size").cast("string"),
+        "message-id": F.col("message_id"), "timestamp": time, "content-type": F.col("content_type"), "correlation-id": F.col("correlation_id"),
+        "delivery-count": F.col("delivery_count"), "sequence-number": F.col("sequence_number"), "sequence-size": F.col("sequence_size"),
     }
-    reserved = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull() & (v != ""))
-    whole = F.map_concat(without_headers(F.col("headers"), list(RESERVED)), reserved)
-    entries = F.array_sort(F.map_entries(whole))
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    reserved = F.array_compact(F.array(*[F.when(present(v), F.struct(F.lit(k).alias("key"), json_text(v).alias("value"))) for k, v in values.items()]))
+    own = F.map_entries(without_headers(F.coalesce("headers", F.expr(f"cast(map() as {HEADERS})")), list(RESERVED)))
+    entries = F.array_sort(F.concat(own, reserved))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_text(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("}"))
 
 
 def decode_headers(df: DataFrame, column: str = "headers_json") -> DataFrame:
-    """Columns of the reserved headers and a map of the others; ``decode_error`` where the text is no object.
+    """Columns of the reserved headers and a map of the others as JSON texts; ``decode_error`` where the text
+    is no JSON object.
 
-    Whole numbers come back as integers only for the integer headers.
+    The text is parsed once. Reserved headers of another type than their own are null; of the others numbers
+    stay numbers and strings strings. Whole numbers come back as integers only for the integer headers, with
+    their fraction cut.
     """
-    known = F.from_json(column, "`message-id` string, timestamp string, `content-type` string, `correlation-id` string, `delivery-count` int, `sequence-number` int, `sequence-size` int")
-    bad = F.col(column).isNotNull() & (F.col(column) != "") & F.try_parse_json(column).isNull()
-    return df.withColumns(
-        {
-            "decode_error": bad,
-            "message_id": known["message-id"], "ts": F.try_to_timestamp(known["timestamp"]), "content_type": known["content-type"], "correlation_id": known["correlation-id"],
-            "delivery_count": known["delivery-count"], "sequence_number": known["sequence-number"], "sequence_size": known["sequence-size"],
-            "headers": F.when(~bad, without_headers(F.coalesce(F.from_json(column, HEADERS), F.expr(f"cast(map() as {HEADERS})")), list(RESERVED))),
-        }
-    )
+    missing = F.col(column).isNull() | (F.col(column) == "")
+    parsed = unused_name(df, "parsed")
+    df = df.withColumn(parsed, F.when(missing, F.expr(f"cast(map() as {HEADERS})")).otherwise(json_map(F.col(column))))
+    h = F.col(parsed)
+    whole = lambda key: F.try_element_at(h, F.lit(key)).try_cast("double").cast("int")
+    found = {
+        "decode_error": h.isNull(),
+        "message_id": header_string(h, "message-id"), "ts": header_time(h, "timestamp"), "content_type": header_string(h, "content-type"), "correlation_id": header_string(h, "correlation-id"),
+        **{k.replace("-", "_"): whole(k) for k in INTEGER_HEADERS},
+        "headers": without_headers(h, list(RESERVED)),
+    }
+    return df.withColumns(found).drop(parsed)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

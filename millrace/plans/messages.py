@@ -267,18 +267,44 @@ def correlation_restore(spark: SparkSession, d: str) -> DataFrame:
     return exchange.restore(out).select("message_id", "correlation_id", "exchange_id")
 
 
+#: Headers of every JSON type beside the number that the table has.
+KINDS_JSON = ("x-custom", "five", "flag", "gone", "nested", 'quo"ted')
+STAMP_SQL = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when microsecond(ts) % 1000000 = 0 then '' else '.' || rtrim(strftime(ts, '%f'), '0') end || 'Z'"
+
+
+def _many_headers(spark: SparkSession, d: str) -> DataFrame:
+    df = envelope.events(spark, d)
+    h = F.col("headers")
+    values = (F.concat(F.lit('say "'), F.col("payload.type"), F.lit('"\n')), F.lit("5"), F.col("message_id").cast("bigint") % 2 == 0, F.lit(None).cast("string"), F.struct(F.array(F.lit(1), F.lit(2)).alias("a"), F.lit("b").alias("t")), F.lit(1.5))
+    for key, value in zip(KINDS_JSON, values):
+        h = envelope.with_header(h, key, value)
+    return df.withColumn("headers", h)
+
+
 @query(f"""select cast(event_id as varchar) as message_id,
-  '{{"content-type":"application/json","correlation-id":"' || user_id || '","k":' || {K} || ',"message-id":"' || event_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}}' as headers_json from events""")
+  '{{"content-type":"application/json","correlation-id":"' || user_id || '","five":"5","flag":' || (event_id % 2 = 0) || ',"gone":null,"k":' || {K} || ',"message-id":"' || event_id
+  || '","nested":{{"a":[1,2],"t":"b"}},"quo\\"ted":1.5,"timestamp":"' || {STAMP_SQL} || '","x-custom":"say \\"' || event_type || '\\"\\n"}}' as headers_json from events""")
 def header_framing(spark: SparkSession, d: str) -> DataFrame:
-    df = envelope.events(spark, d)
+    """Headers of every JSON type on the wire."""
+    df = _many_headers(spark, d)
     return df.select("message_id", envelope.encode_headers(df).alias("headers_json"))
 
 
-@query(f"""select cast(event_id as varchar) as message_id, cast(event_id as varchar) as id2, cast(user_id as varchar) as correlation_id, ts, {K} as k, false as decode_error from events""")
+@query(f"""select cast(event_id as varchar) as message_id, cast(event_id as varchar) as id2, cast(user_id as varchar) as correlation_id, ts, {K} as k, false as decode_error,
+  'say "' || event_type || '"' || chr(10) as custom, cast(null as bigint) as five_as_int, '5' as five, case when event_id % 2 = 0 then 'true' else 'false' end as flag, 'null' as gone,
+  '{{"a":[1,2],"t":"b"}}' as nested, '1.5' as quoted, 7::bigint as n_headers, cast(event_id % 9 as integer) as delivery_count, true as same from events""")
 def header_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    df = envelope.events(spark, d)
-    back = envelope.decode_headers(df.select(F.col("message_id").alias("id2"), envelope.encode_headers(df).alias("headers_json")))
-    return back.select("message_id", "id2", "correlation_id", F.col("ts").cast("timestamp_ntz").alias("ts"), envelope.header_int(F.col("headers"), "k").alias("k"), "decode_error")
+    """Strings, numbers, booleans, null, nested values and keys with quotes survive; encoding again gives the same text."""
+    df = _many_headers(spark, d).withColumn("delivery_count", (F.col("message_id").cast("bigint") % 9).cast("int"))
+    wire = df.select(F.col("message_id").alias("id2"), envelope.encode_headers(df).alias("headers_json"))
+    back = envelope.decode_headers(wire)
+    h = F.col("headers")
+    return back.select(
+        "message_id", "id2", "correlation_id", F.col("ts").cast("timestamp_ntz").alias("ts"), envelope.header_int(h, "k").alias("k"), "decode_error",
+        envelope.header_string(h, "x-custom").alias("custom"), envelope.header_int(h, "five").alias("five_as_int"), envelope.header_string(h, "five").alias("five"),
+        envelope.header(h, "flag").alias("flag"), envelope.header(h, "gone").alias("gone"), envelope.header(h, "nested").alias("nested"), envelope.header(h, 'quo"ted').alias("quoted"),
+        F.size(h).cast("bigint").alias("n_headers"), "delivery_count", (envelope.encode_headers(back) == F.col("headers_json")).alias("same"),
+    )
 
 
 @query(f"select cast(event_id as varchar) as message_id, unnest(['k', 'x']) as key, unnest([cast({K} as varchar), '7']) as value from events")
