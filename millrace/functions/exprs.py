@@ -5,9 +5,11 @@ Names: ``payload`` (fields by dot), ``header("key")``, ``messages`` and ``size``
 0, array literals, ``len filter map all any none count`` with ``{...}`` predicates in which ``.F`` is a field
 of the element and ``#`` the element.
 
-Each expression gives a value and an error: comparing a missing or differently typed header by order is an
-error of that message, never false; equality with it is plainly false. A header's value is JSON text (see
-``millrace.envelope``).
+Each expression gives a value and an error. An error belongs to its message and never stops the others:
+comparing a missing or differently typed header by order, an index out of range (negative ones count from the
+end), a remainder by zero, an overflow of whole numbers. Equality with a missing header is plainly false, and
+a division by zero is infinite. A header's value is JSON text (see ``millrace.envelope``). An array literal of
+mixed types holds variants.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 
-MAX_NODES = 10_000
+MAX_NODES, MAX_DEPTH = 10_000, 64
 _TOKEN = re.compile(r"""\s*(?:(?P<num>\d+\.\d+|\d+)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_]\w*)|(?P<op>\|\||&&|==|!=|<=|>=|[-+*/%<>!?:.,()\[\]{}#]))""")
 _BINARY = [({"||", "or"},), ({"&&", "and"},), ({"==", "!=", "<", "<=", ">", ">=", "in", "contains", "startsWith", "endsWith"},), ({"+", "-"},), ({"*", "/", "%"},)]
 
@@ -62,7 +65,9 @@ def _typed(n: Node, like: Node) -> Node:
 
 
 class _Parser:
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, env: dict[str, Column] | None = None) -> None:
+        self.env = env or {}
+        self.depth = 0
         self.tokens: list[tuple[str, str]] = []
         at, text = 0, text.rstrip()
         while at < len(text):
@@ -96,7 +101,18 @@ class _Parser:
             raise InvalidExpressionError(f"unexpected {self.peek()[1]!r}")
         return node
 
+    def deeper(self, by: int) -> None:
+        self.depth += by
+        if self.depth > MAX_DEPTH:
+            raise InvalidExpressionError("the expression is nested too deeply")
+
     def ternary(self) -> Node:
+        self.deeper(1)
+        node = self.choice()
+        self.deeper(-1)
+        return node
+
+    def choice(self) -> Node:
         test = self.binary(0)
         if not self.is_op("?"):
             return test
@@ -147,19 +163,26 @@ class _Parser:
         if op == "+" and "str" in (a.kind, b.kind):
             return Node(F.concat(a.value, b.value), err, kind="str")
         if op == "/":
-            return Node(a.value.cast("double") / b.value.cast("double"), err, kind="num")
-        return Node({"+": a.value + b.value, "-": a.value - b.value, "*": a.value * b.value, "%": a.value % b.value}[op], err, kind="num")
+            x, y = a.value.cast("double"), b.value.cast("double")
+            beyond = F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+            return Node(F.when(x.isNull() | y.isNull(), None).when(y == 0, beyond).otherwise(F.try_divide(x, y)), err, kind="num")
+        made = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "%": F.try_mod}[op](a.value, b.value)
+        # none of them gives null for two numbers but where it fails
+        failed = made.isNull() & a.value.isNotNull() & b.value.isNotNull()
+        return Node(made, failed if err is None else err | failed, kind="num")
 
     def unary(self) -> Node:
-        if self.is_op("!", "not"):
-            self.take()
-            n = self.unary()
+        if not self.is_op("!", "not", "-"):
+            return self.postfix(self.primary())
+        op = self.take()[1]
+        self.deeper(1)
+        n = self.unary()
+        self.deeper(-1)
+        if op != "-":
             return Node(~n.value, n.err, kind="bool")
-        if self.is_op("-"):
-            self.take()
-            n = self.unary()
-            return Node(-n.value, n.err, kind="num")
-        return self.postfix(self.primary())
+        made = F.try_subtract(F.lit(0), n.value)
+        failed = made.isNull() & n.value.isNotNull()
+        return Node(made, failed if n.err is None else n.err | failed, kind="num")
 
     def postfix(self, n: Node) -> Node:
         while self.is_op(".", "["):
@@ -169,9 +192,19 @@ class _Parser:
             else:
                 at = self.ternary()
                 self.take("]")
-                n = Node(F.get(n.value, at.value), _errs(n, at))
+                n = self.indexed(n, at)
         return n
 
+    def indexed(self, n: Node, at: Node) -> Node:
+        """An element of an array, from the end if the index is negative; out of range is an error."""
+        if at.kind == "str":
+            return Node(F.try_element_at(n.value, at.value), _errs(n, at))
+        size = F.size(n.value)
+        outside = n.value.isNull() | at.value.isNull() | (at.value >= size) | (at.value < -size)
+        err = _errs(n, at)
+        place = F.when(at.value < 0, size + at.value).otherwise(at.value).cast("int")
+        return Node(F.get(n.value, place), outside if err is None else err | outside)
+
     def header_of(self, of: Node) -> Node:
         self.take("(")
         kind, key = self.take()
@@ -183,6 +216,8 @@ class _Parser:
     def primary(self) -> Node:
         kind, v = self.take()
         if kind == "num":
+            if "." not in v and int(v) >= 1 << 63:
+                raise InvalidExpressionError(f"{v} is too large")
             return Node(F.lit(float(v)) if "." in v else F.lit(int(v)), kind="num")
         if kind == "str":
             return Node(F.lit(_text(v)), kind="str")
@@ -197,7 +232,8 @@ class _Parser:
                 if not self.is_op("]"):
                     self.take(",")
             self.take("]")
-            return Node(F.array(*[i.value for i in items]), _errs(*items))
+            mixed = len({i.kind for i in items}) > 1 or any(i.header for i in items)
+            return Node(F.array(*[F.parse_json(_json(i)) if mixed else i.value for i in items]), _errs(*items), kind="mixed" if mixed else None)
         if v in (".", "#") and self.elements:
             one = Node(self.elements[-1])
             if v == "#":
@@ -221,9 +257,9 @@ class _Parser:
             self.take(")")
             return Node(F.try_element_at(F.col("headers"), F.lit(_text(key))), None, True)
         if name == "size":
-            return Node(F.coalesce(F.col("size"), F.lit(0)), kind="num")
+            return Node(self.env.get("size", F.coalesce(F.col("size"), F.lit(0))), kind="num")
         if name in ("payload", "messages"):
-            return Node(F.col(name))
+            return Node(self.env.get(name, F.col(name)))
         if name == "len":
             self.take("(")
             n = self.ternary()
@@ -264,6 +300,13 @@ class _Parser:
         return Node(made, array.err, kind="bool" if name in ("all", "any") else None)
 
 
+def _json(n: Node) -> Column:
+    """A value as JSON text; a header is that already."""
+    from millrace.envelope import json_text
+
+    return n.value if n.header else json_text(n.value)
+
+
 def _text(token: str) -> str:
     return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), token[1:-1])
 
@@ -278,18 +321,24 @@ class Expression:
     plain: Column
 
 
+def _parsed(text: str, env: dict[str, Column] | None = None) -> Node:
+    if not text or not text.strip():
+        raise InvalidExpressionError("the expression is blank")
+    return _Parser(text, env).whole()
+
+
 def compile_expression(text: str, df: DataFrame, kind: str | None = None) -> Expression:
     """Compile for messages with the schema of ``df``; ``kind`` is the Spark type that the value must have
     exactly (``boolean``, ``string``, ``array`` for any array, ...)."""
-    if not text or not text.strip():
-        raise InvalidExpressionError("the expression is blank")
-    node = _Parser(text).whole()
+    node = _parsed(text)
     err = node.err if node.err is not None else F.lit(False)
     value = node.value
     try:
         found = df.select(value.alias("v"), err.alias("e")).schema["v"].dataType
     except AnalysisException as e:
         raise InvalidExpressionError(str(e).split("\n")[0]) from e
+    except Py4JJavaError as e:
+        raise InvalidExpressionError(f"the expression can't be planned: {e.java_exception.getClass().getName()}") from e
     right = isinstance(found, T.ArrayType) if kind == "array" else kind is None or found.simpleString() == kind
     if not right:
         raise InvalidExpressionError(f"{text!r} is {found.simpleString()}, not {kind}")
@@ -297,6 +346,19 @@ def compile_expression(text: str, df: DataFrame, kind: str | None = None) -> Exp
     return Expression(F.when(~failed, value), failed, value)
 
 
+def compile_group_expression(text: str, messages: Column, size: Column) -> Expression:
+    """Compile an expression over the members of a group, given as columns."""
+    node = _parsed(text, {"messages": messages, "size": size})
+    failed = F.coalesce(node.err if node.err is not None else F.lit(False), F.lit(False))
+    return Expression(F.when(~failed, node.value), failed, node.value)
+
+
+def check_group_expression(text: str, df: DataFrame) -> None:
+    """Raise unless the expression is a boolean one over groups of messages like those of ``df``."""
+    member = F.struct("headers", "payload")
+    compile_expression(text, df.select(F.array(member).alias("messages"), F.lit(0).alias("size")), "boolean")
+
+
 def filter_expr(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages that pass, that don't, and that failed."""
     e = compile_expression(text, df, "boolean")
@@ -311,14 +373,39 @@ def transform_expr(df: DataFrame, text: str, kind: str) -> DataFrame:
 
 
 def route_expr(df: DataFrame, text: str, routes: dict[str, str], default: str | None = None) -> DataFrame:
-    """The channel by a string key; null is no route."""
+    """The channel by a string key; null is no route. ``err`` marks messages on which the key failed: they have
+    no channel, not even the default one."""
     from millrace.operators.flow import route
 
-    return route(compile_expression(text, df, "string").value, routes, default)(df)
+    e = compile_expression(text, df, "string")
+    routed = route(e.value, routes, default)(df.withColumn("err", e.err))
+    return routed.withColumn("channel", F.when(~F.col("err"), F.col("channel")))
+
+
+def _elements(df: DataFrame, text: str, element: str | None) -> tuple[Column, Column]:
+    """The elements and whether the message failed, also by an element of another type than ``element``."""
+    e = compile_expression(text, df, "array")
+    found = df.select(e.value.alias("v")).schema["v"].dataType.elementType
+    if element is None or found.simpleString() == element:
+        return e.value, e.err
+    if not isinstance(found, T.VariantType):
+        raise InvalidExpressionError(f"{text!r} has elements of {found.simpleString()}, not {element}")
+    typed = F.transform(e.value, lambda x: F.try_variant_get(x, "$", element))
+    # a variant is converted between types, an element is not: its own type has to be that of its kind
+    names = {"string": ["STRING"], "boolean": ["BOOLEAN"], "double": ["DOUBLE", "DECIMAL"], "int": ["BIGINT"], "bigint": ["BIGINT"]}[element]
+    fits = F.forall(e.value, lambda x: F.regexp_extract(F.schema_of_variant(x), r"^[A-Z]+", 0).isin(names)) & F.forall(typed, lambda x: x.isNotNull())
+    failed = e.err | ~F.coalesce(fits, F.lit(True))
+    return F.when(~failed, typed), failed
+
+
+def split_expr(df: DataFrame, text: str, element: str | None = None) -> DataFrame:
+    """A message for each element of an array expression; a message on which it fails, or that has an element
+    of another type than ``element``, gives none and is one of ``split_expr_failed``."""
+    from millrace.operators.flow import split
 
+    return split(_elements(df, text, element)[0])(df)
 
-def split_expr(df: DataFrame, text: str) -> DataFrame:
-    """A message for each element of an array expression."""
-    from millrace.operators.flow import split
 
-    return split(compile_expression(text, df, "array").value)(df)
+def split_expr_failed(df: DataFrame, text: str, element: str | None = None) -> DataFrame:
+    """The messages that ``split_expr`` can't split."""
+    return df.where(_elements(df, text, element)[1])

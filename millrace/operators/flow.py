@@ -100,21 +100,22 @@ def branches(df: DataFrame, channels: list[str], column: str = "channel") -> dic
 def split(children: Column, parent_id: str = "message_id", correlation: str = "correlation_id") -> Step:
     """A message for each element, in order; no elements, no messages.
 
-    Stamps sequence number and size, an id after the parent's, and the parent's id as correlation unless the
-    parent has one already.
+    Stamps sequence number and size, and of a parent with an id a child's id after it and, unless there is a
+    correlation already (an empty one is one), the parent's id as correlation. Without a parent's id, id and
+    correlation stay as they are.
     """
 
     def run(df: DataFrame) -> DataFrame:
         rows = df.withColumn("_children", children)
         rows = rows.select(*df.columns, F.size("_children").alias("_size"), F.posexplode("_children").alias("_pos", "_child"))
         number = (F.col("_pos") + 1).cast("int")
-        named = F.when(F.col(parent_id).isNotNull() & (F.col(parent_id) != ""), F.concat_ws("#", F.col(parent_id), number.cast("string")))
+        known = F.coalesce(F.col(parent_id) != "", F.lit(False))
         return rows.withColumns(
             {
                 "sequence_number": number,
                 "sequence_size": F.col("_size").cast("int"),
-                correlation: F.coalesce(F.nullif(F.col(correlation), F.lit("")), F.col(parent_id)),
-                parent_id: named,
+                correlation: F.when(known, F.coalesce(correlation, parent_id)).otherwise(F.col(correlation)),
+                parent_id: F.when(known, F.concat_ws("#", F.col(parent_id), number.cast("string"))).otherwise(F.col(parent_id)),
                 "payload": F.col("_child"),
             }
         ).drop("_children", "_size", "_pos", "_child")

@@ -32,23 +32,24 @@ def breaker(df: DataFrame, source: str, at_us: str, order: list[str], healthy: s
     opens it again. What the breaker turns away isn't called and doesn't count.
     """
 
-    def step(s: dict | None, row: dict) -> tuple[dict, dict]:
-        s = s or {"state": "closed", "fails": 0, "since": 0}
-        state, fails, since = s["state"], s["fails"], s["since"]
-        t, ok = row[at_us], bool(row[healthy])
-        if state == "open" and t - since >= cooldown_us:
-            state = "half_open"
-        admitted = state != "open"
-        if admitted:
-            if ok:
+    def step(s: tuple | None, times: list, goods: list) -> tuple[tuple, tuple]:
+        state, fails, since = s or ("closed", 0, 0)
+        let_in, states = [], []
+        for t, ok in zip(times, goods):
+            if state == "open" and t - since >= cooldown_us:
+                state = "half_open"
+            admitted = state != "open"
+            if admitted and ok:
                 state, fails = "closed", 0
-            else:
+            elif admitted:
                 fails = fails + 1 if state == "closed" else threshold
                 if fails >= threshold:
                     state, since = "open", t
-        return {"state": state, "fails": fails, "since": since}, {"admitted": admitted, "state": state}
+            let_in.append(admitted)
+            states.append(state)
+        return (state, fails, since), (let_in, states)
 
-    return fold(df, source, order, step, {"admitted": "boolean", "state": "string"})
+    return fold(df, source, order, [at_us, healthy], step, {"admitted": "boolean", "state": "string"})
 
 
 def in_flight(df: DataFrame, source: str, claimed_us: str, settled_us: str, ids: str) -> DataFrame:

@@ -21,37 +21,48 @@ def replay(log: DataFrame, order: list[str], lease_us: int = LEASE_US) -> DataFr
     """Add ``result``, ``members`` (live or claimed, comma-joined), ``epoch`` and ``created_us`` to a log
     ``(group_key, command, message_id, epoch_given, at_us)``."""
 
-    def step(s: dict | None, row: dict) -> tuple[dict, dict]:
-        s = s or {"members": {}, "epoch": 0, "locked": None, "created": None}
-        members, epoch, locked, created = dict(s["members"]), s["epoch"], s["locked"], s["created"]
-        command, t = row["command"], row["at_us"]
-        fits = row["epoch_given"] == epoch and locked is not None
-        if command == "add":
-            if not row["message_id"]:
-                result = "invalid"
-            elif row["message_id"] in members:
-                result = "repeated"
+    def step(s: tuple | None, commands: list, ids: list, given: list, times: list) -> tuple[tuple, tuple]:
+        members, epoch, locked, created = s or ({}, 0, None, None)
+        results, listed, epochs, births = [], [], [], []
+        for command, message_id, epoch_given, t in zip(commands, ids, given, times):
+            fits = epoch_given == epoch and locked is not None
+            if command == "add":
+                if not message_id:
+                    result = "invalid"
+                elif message_id in members:
+                    result = "repeated"
+                else:
+                    created = t if created is None else created
+                    members[message_id] = None
+                    result = "added"
+            elif command == "claim":
+                if not members or (locked is not None and t - locked < lease_us):
+                    result = "nothing"
+                else:
+                    epoch, locked, result = epoch + 1, t, "claimed"
+                    members = dict.fromkeys(members, epoch)
+            elif not fits:
+                result = "stale"
+            elif command == "settle":
+                members = {m: None for m, e in members.items() if e != epoch}
+                locked, created, result = None, t if members else None, "settled"
             else:
-                created = t if created is None else created
-                members[row["message_id"]] = None
-                result = "added"
-        elif command == "claim":
-            if not members or (locked is not None and t - locked < lease_us):
-                result = "nothing"
-            else:
-                epoch, locked, result = epoch + 1, t, "claimed"
-                members = dict.fromkeys(members, epoch)
-        elif not fits:
-            result = "stale"
-        elif command == "settle":
-            members = {m: None for m, e in members.items() if e != epoch}
-            locked, created, result = None, t if members else None, "settled"
-        else:
-            locked, result = None, "abandoned"
-        state = {"members": members, "epoch": epoch, "locked": locked, "created": created}
-        return state, {"result": result, "members": ",".join(members), "epoch": epoch, "created_us": created}
-
-    return fold(log, "group_key", order, step, {"result": "string", "members": "string", "epoch": "long", "created_us": "long"})
+                locked, result = None, "abandoned"
+            results.append(result)
+            listed.append(",".join(members))
+            epochs.append(epoch)
+            births.append(created)
+        return (members, epoch, locked, created), (results, listed, epochs, births)
+
+    return fold(log, "group_key", order, ["command", "message_id", "epoch_given", "at_us"], step, {"result": "string", "members": "string", "epoch": "long", "created_us": "long"})
+
+
+def claimed_members(log: DataFrame, members: DataFrame, order: list[str], lease_us: int = LEASE_US) -> DataFrame:
+    """The members that each successful claim of a command log hands out, with the claim's epoch, in order of
+    ``seq`` and id: ``members(group_key, message_id, seq, ...)`` joined by key and id."""
+    claims = replay(log, order, lease_us).where("result = 'claimed'")
+    wanted = claims.select(F.col("group_key").alias("_key"), "epoch", F.explode(F.split("members", ",")).alias("_id"))
+    return members.join(wanted, (F.col("group_key") == F.col("_key")) & (F.col("message_id") == F.col("_id"))).drop("_key", "_id")
 
 
 def expired(groups: DataFrame, now_us: int, timeout_us: int, most: int = SCAN_LIMIT) -> DataFrame:

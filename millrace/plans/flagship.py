@@ -51,6 +51,6 @@ def order_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, split with sequence stamps, transform, aggregate by sequence size, route, count."""
     steps = flow.chain(flow.filter_(F.col("status") == "F", "discarded"), flow.split(F.col("payload")), flow.transform(_cents()))
     children, _ = aggregate.correlated(steps(order_messages(spark, sf_dir)).main, F.col("correlation_id"))
-    groups = aggregate.by_sequence_size(children, ["sequence_number"], {"cents": F.sum("payload")}).where("released")
+    groups = aggregate.whole_groups(children, ["sequence_number"], {"cents": F.sum("payload")}).where("released")
     channel = F.when(F.col("cents") >= 30000000, "large").when(F.col("cents") >= 10000000, "medium").otherwise("small")
     return groups.groupBy(channel.alias("channel")).agg(F.count("*").alias("n_orders"), F.sum("n_members").alias("n_lines"), F.sum("cents").cast("bigint").alias("cents"))

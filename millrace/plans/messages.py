@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import envelope
@@ -47,6 +47,43 @@ def filter_expr_missing_header(spark: SparkSession, d: str) -> DataFrame:
     return failed.select("message_id")
 
 
+@query("select event_type as type, count(*) as n from events where event_id % 3 = 0 group by 1")
+def expr_arithmetic_error(spark: SparkSession, d: str) -> DataFrame:
+    """A remainder by zero is an error of its message; a division by zero is infinite."""
+    df = envelope.events(spark, d).withColumn("payload", F.struct("payload.type", (F.col("message_id").cast("bigint") % 3).alias("n")))
+    _, _, failed = exprs.filter_expr(df, "1 / payload.n < 100000 && 7 % payload.n >= 0 || 7 % payload.n >= 0")
+    return failed.groupBy(F.col("payload.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("select cast(event_id as varchar) as message_id, event_id % 4 > 1 as passed, event_id % 4 < 2 as failed from events")
+def expr_index_error(spark: SparkSession, d: str) -> DataFrame:
+    """An index out of range is an error, not a rejection."""
+    df = envelope.events(spark, d)
+    df = df.withColumn("payload", F.struct(F.slice(F.array(*map(F.lit, range(4))), 1, (F.col("message_id").cast("bigint") % 4).cast("int")).alias("items")))
+    e = exprs.compile_expression("payload.items[1] >= 0 && payload.items[-2] >= 0", df, "boolean")
+    return df.select("message_id", F.coalesce(e.value, F.lit(False)).alias("passed"), e.err.alias("failed"))
+
+
+@query(f"select case when event_id % 2 = 0 then case when {K} > 5 then 'high' else 'low' end end as channel, event_id % 2 = 1 as err, count(*) as n from events group by all")
+def route_expr_error(spark: SparkSession, d: str) -> DataFrame:
+    """A key that fails is no route, not the default one."""
+    df = envelope.events(spark, d)
+    key = F.when(F.col("message_id").cast("bigint") % 2 == 0, F.col("headers")).otherwise(F.expr("cast(map() as map<string,string>)"))
+    routed = exprs.route_expr(df.withColumn("headers", key), 'header("k") > 5 ? "up" : "down"', {"up": "high"}, "low")
+    return routed.groupBy("channel", "err").agg(F.count("*").alias("n"))
+
+
+@query("""select 'o-' || o_orderkey as message_id, 'split' as kind, count(*) as n from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 3 > 0 group by 1
+union all select 'o-' || o_orderkey, 'failed', 1 from orders where o_orderkey % 3 = 0 and o_orderkey in (select l_orderkey from lineitem)""")
+def split_expr_error(spark: SparkSession, d: str) -> DataFrame:
+    """A message that can't be split gives no children and is an error."""
+    df = order_messages(spark, d).withColumn("payload", F.struct(F.col("payload").alias("lines"), (F.regexp_extract("message_id", r"\d+", 0).cast("bigint") % 3).alias("n")))
+    text = "7 % payload.n >= 0 ? payload.lines : payload.lines"
+    children = exprs.split_expr(df, text).groupBy(F.col("correlation_id").alias("message_id")).agg(F.lit("split").alias("kind"), F.count("*").alias("n"))
+    failed = exprs.split_expr_failed(df, text).select("message_id", F.lit("failed").alias("kind"), F.lit(1).cast("bigint").alias("n"))
+    return children.unionByName(failed)
+
+
 @query("select cast(event_id as varchar) as message_id, value * 2 as payload, cast(user_id as varchar) as correlation_id from events")
 def transform(spark: SparkSession, d: str) -> DataFrame:
     return flow.transform(F.col("payload.value") * 2)(envelope.events(spark, d)).select("message_id", "payload", "correlation_id")
@@ -123,13 +160,47 @@ def agg_residual_held(spark: SparkSession, d: str) -> DataFrame:
     return _batches(spark, d).where("not released").drop("released")
 
 
-@query("""select cast(conv_id as varchar) as group_key, count(*) as n_members, arg_min(length(text) % 7 + 1, turn) as expected,
-    count(*) >= arg_min(length(text) % 7 + 1, turn) as released, cast(sum(length(text)) as bigint) as chars from conversations group by 1""")
+SIZED = """
+with recursive o as (select conv_id, turn, length(text) as chars, {size} as size, row_number() over (partition by conv_id order by turn, length(text), text) as rn from conversations),
+f as (
+  select conv_id, rn, chars, 0 as batch, 1 as n, size as expected, coalesce(1 >= size, false) as done from o where rn = 1
+  union all
+  select o.conv_id, o.rn, o.chars, f.batch + cast(f.done as integer), case when f.done then 1 else f.n + 1 end, case when f.done then o.size else f.expected end,
+         case when f.done then coalesce(1 >= o.size, false) else coalesce(f.n + 1 >= f.expected, false) end
+  from f join o on o.conv_id = f.conv_id and o.rn = f.rn + 1
+), g as (select cast(conv_id as varchar) as group_key, cast(batch as bigint) as batch, count(*) as n_members, cast(max(expected) as bigint) as expected, bool_or(done) as released, cast(sum(chars) as bigint) as chars from f group by conv_id, batch)
+"""
+
+
+def _sized(spark: SparkSession, d: str, size: Column) -> DataFrame:
+    df = read(spark, d, "conversations").withColumn("chars", F.char_length("text").cast("bigint"))
+    good, _ = aggregate.correlated(df.withColumn("sequence_size", size), F.col("conv_id"))
+    return aggregate.by_sequence_size(good, ["turn", "chars", "text"], {"chars": F.sum("chars")})
+
+
+@query(SIZED.format(size="length(text) % 7 + 1") + "select * from g")
 def agg_sequence_size(spark: SparkSession, d: str) -> DataFrame:
-    """A group is as large as its first member says."""
-    df = read(spark, d, "conversations").withColumn("sequence_size", (F.char_length("text") % 7 + 1).cast("bigint"))
-    good, _ = aggregate.correlated(df, F.col("conv_id"))
-    return aggregate.by_sequence_size(good, ["turn"], {"chars": F.sum(F.char_length("text").cast("bigint"))})
+    """A group is as large as its first member says and then begins anew."""
+    return _sized(spark, d, (F.char_length("text") % 7 + 1).cast("bigint"))
+
+
+@query(SIZED.format(size="case when length(text) % 5 > 0 then length(text) % 3 end") + "select group_key, batch, n_members, expected, chars from g where not released")
+def agg_sequence_residual(spark: SparkSession, d: str) -> DataFrame:
+    """What is held: the rest after the last release, and groups whose first member has no size."""
+    size = F.when(F.char_length("text") % 5 > 0, (F.char_length("text") % 3).cast("bigint"))
+    return _sized(spark, d, size).where("not released").drop("released")
+
+
+@query("""with k as (select *, case when value > 20 then event_type else '' end as group_key from events)
+select group_key, count(*) as n, 'good' as kind from k where group_key <> '' and value <= 90 group by 1
+union all select '', count(*), 'missing' from k where group_key = '' and value <= 90 union all select '', count(*), 'failed' from k where value > 90""")
+def agg_correlation_expr(spark: SparkSession, d: str) -> DataFrame:
+    """A group key by expression: an empty one is invalid for good, an error is of its message."""
+    text = '(payload.value > 90 ? header("absent") > 1 : true) && payload.value > 20 ? payload.type : ""'
+    good, missing, failed = aggregate.correlated_expr(envelope.events(spark, d), text)
+    count = lambda df, kind: df.groupBy().agg(F.lit("").alias("group_key"), F.count("*").alias("n"), F.lit(kind).alias("kind"))
+    found = good.groupBy("group_key").agg(F.count("*").alias("n"), F.lit("good").alias("kind"))
+    return found.unionByName(count(missing, "missing")).unionByName(count(failed, "failed"))
 
 
 FOLD = """
@@ -152,6 +223,31 @@ def agg_release_rule(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.until(df, ["ts", "event_id"], "value", 120.0, 2).select("event_id", "batch", "place")
 
 
+@query(FOLD.format(value="value", at="event_id % 10") + """
+f as (
+  select user_id, event_id, rn, 0 as batch, 1 as place, v as top, coalesce(at_us < 9 and (v > 80 or 1 >= 4), false) as done, at_us >= 9 as err from o where rn = 1
+  union all
+  select o.user_id, o.event_id, o.rn, f.batch + cast(f.done as integer), case when f.done then 1 else f.place + 1 end, case when f.done then o.v else greatest(f.top, o.v) end,
+         o.at_us < 9 and ((case when f.done then o.v else greatest(f.top, o.v) end) > 80 or (case when f.done then 1 else f.place + 1 end) >= 4), o.at_us >= 9
+  from f join o on o.user_id = f.user_id and o.rn = f.rn + 1
+) select event_id, cast(batch as bigint) as batch, cast(place as bigint) as place, done as complete, err from f""")
+def agg_release_expr(spark: SparkSession, d: str) -> DataFrame:
+    """Released by an expression over the live members, again and again; it fails where the newest has no number."""
+    df = read(spark, d, "events").withColumns({"group_key": F.col("user_id").cast("string"), "payload": F.struct("value"), "sequence_size": F.lit(None).cast("int")})
+    digit = (F.col("event_id") % 10).cast("string")
+    df = df.withColumn("headers", F.create_map(F.lit("d"), F.when(F.col("event_id") % 10 < 9, digit).otherwise(F.lit('"none"'))))
+    text = 'messages[-1].header("d") >= 0 && (any(messages, {.payload.value > 80}) || len(messages) >= 4)'
+    return aggregate.by_release_expr(df, ["ts", "event_id"], text).select("event_id", "batch", "place", "complete", "err")
+
+
+@query("""with g as (select user_id, event_type, count(*) as n, min(ts) as created_at from events group by all), n as (select max(ts) as now from events)
+select event_id, event_type as type from events join g using (user_id, event_type), n where g.n < 12 and created_at < now - interval 1 hour - interval 20 day""")
+def agg_expired_members(spark: SparkSession, d: str) -> DataFrame:
+    """The members of expired groups, one by one."""
+    df = read(spark, d, "events").withColumn("type", F.col("event_type")).withColumn("group_key", F.col("user_id").cast("string"))
+    return aggregate.expired_members(df, _reaped(df), ["group_key", "type"]).select("event_id", "type")
+
+
 @query(FOLD.format(value="0", at="epoch_us(ts)") + """
 f as (
   select user_id, event_id, rn, 0 as generation, 1 as place, at_us as start_us from o where rn = 1
@@ -172,12 +268,15 @@ def agg_timeout_generations(spark: SparkSession, d: str) -> DataFrame:
   select group_key, type, n_members, case when n_members >= 12 then 'output' when created_at < (select as_of from n) - interval 20 day then 'expired' else 'held' end as fate from g""")
 def agg_group_timeout(spark: SparkSession, d: str) -> DataFrame:
     """One pass of the reaper at a given time."""
-    df = read(spark, d, "events")
-    as_of = df.agg(F.max("ts")).first()[0]
-    groups = df.groupBy(F.col("user_id").cast("string").alias("group_key"), F.col("event_type").alias("type")).agg(F.count("*").alias("n_members"), F.min("ts").alias("created_at"))
-    now = F.lit(as_of).cast("timestamp_ntz") - F.expr("interval 1 hour")
-    done = aggregate.reap(groups.withColumn("released", F.col("n_members") >= 12), now, 20 * 86_400_000_000)
-    return done.select("group_key", "type", "n_members", "fate")
+    df = read(spark, d, "events").withColumn("type", F.col("event_type")).withColumn("group_key", F.col("user_id").cast("string"))
+    return _reaped(df).select("group_key", "type", "n_members", "fate")
+
+
+def _reaped(df: DataFrame) -> DataFrame:
+    """Groups by key and type as the reaper finds them an hour before the last event; its time is a table of one row."""
+    as_of = df.agg((F.max("ts") - F.expr("interval 1 hour")).alias("as_of"))
+    groups = df.groupBy("group_key", "type").agg(F.count("*").alias("n_members"), F.min("ts").alias("created_at")).withColumn("released", F.col("n_members") >= 12)
+    return aggregate.reap(groups.join(F.broadcast(as_of)), F.col("as_of"), 20 * 86_400_000_000)
 
 
 @query("select cast(event_id as varchar) as message_id from events where user_id % 10 = 3")

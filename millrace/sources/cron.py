@@ -103,14 +103,17 @@ def elect(claims: DataFrame, at_us: str, order: list[str], lease_us: int = 30_00
     """Add ``leader`` to claims ``(scope, holder, ...)``: a lease is taken if there is none, if it is one's
     own (and then extended) or if it has run out."""
 
-    def step(state: dict | None, row: dict) -> tuple[dict, dict]:
-        t, holder = row[at_us], row["holder"]
-        won = state is None or state["holder"] == holder or state["until"] <= t
-        if won:
-            state = {"holder": holder, "until": t + lease_us}
-        return state, {"leader": won, "until_us": state["until"]}
-
-    return fold(claims, "scope", order, step, {"leader": "boolean", "until_us": "long"})
+    def step(state: tuple | None, times: list, holders: list) -> tuple[tuple, tuple]:
+        leaders, untils = [], []
+        for t, holder in zip(times, holders):
+            won = state is None or state[0] == holder or state[1] <= t
+            if won:
+                state = (holder, t + lease_us)
+            leaders.append(won)
+            untils.append(state[1])
+        return state, (leaders, untils)
+
+    return fold(claims, "scope", order, [at_us, "holder"], step, {"leader": "boolean", "until_us": "long"})
 
 
 def validate_gates(schedule: Schedule, locker: bool, elector: bool) -> None:

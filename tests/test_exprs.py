@@ -32,7 +32,14 @@ def results(df, text, kind=None):
         ("(payload.Amount + 2) * 3 - 1", [(455, False), (155, False)]),
         ("payload.Amount / 100", [(1.5, False), (0.5, False)]),
         ("-payload.Amount % 7", [(-3, False), (-1, False)]),
-        ("payload.Items[0].Name", [("a", False), (None, False)]),
+        ("payload.Items[0].Name", [("a", False), (None, True)]),
+        ("payload.Items[-1].Name", [("b", False), (None, True)]),
+        ("payload.Items[2].Name", [(None, True), (None, True)]),
+        ("payload.Amount / 0 > 1000000", [(True, False), (True, False)]),
+        ("payload.Amount % 0 == 1", [(None, True), (None, True)]),
+        ("payload.Amount * 9223372036854775807 > 0", [(None, True), (None, True)]),
+        ("payload.Amount > 100 || payload.Amount % 0 == 1", [(True, False), (None, True)]),
+        ("len([1, \"two\", true]) == 3", [(True, False), (True, False)]),
         ("len(payload.Items)", [(2, False), (0, False)]),
         ("map(filter(payload.Items, {.F > 2}), {.Name})", [(["b"], False), ([], False)]),
         ("all(payload.Items, {.F > 0})", [(True, False), (True, False)]),
@@ -62,6 +69,36 @@ def test_kinds_are_exact(messages):
     exprs.compile_expression("payload.Items", messages, "array")
 
 
+def test_depth_is_capped(messages):
+    for text in ("(" * 500 + "1" + ")" * 500, "!" * 3000 + "true", "1 ? " * 300 + "1" + " : 1" * 300, "[" * 200 + "]" * 200):
+        with pytest.raises(exprs.InvalidExpressionError):
+            exprs.compile_expression(text, messages)
+    with pytest.raises(exprs.InvalidExpressionError):
+        exprs.compile_expression("99999999999999999999", messages)
+    assert results(messages, "(" * 20 + "1" + ")" * 20) == [(1, False), (1, False)]
+
+
+def test_elements_have_the_type_asked_for(messages):
+    rows = messages.withColumns({"correlation_id": F.lit(None).cast("string"), "sequence_number": F.lit(0), "sequence_size": F.lit(0)})
+    with pytest.raises(exprs.InvalidExpressionError):
+        exprs.split_expr(rows, "payload.Items", "int")
+    mixed = '[1, "two"]'
+    assert exprs.split_expr(rows, mixed, "int").count() == 0 and exprs.split_expr_failed(rows, mixed, "int").count() == 2
+    some = '[1, header("n") == 5 ? 7 : 8]'
+    assert sorted(r.payload for r in exprs.split_expr(rows, some).collect()) == [1, 1, 7, 8]
+    headers = '["a", header("s")]'
+    got = exprs.split_expr(rows, headers, "string").collect()
+    assert [(r.message_id, r.payload) for r in got] == [("m1#1", "a"), ("m1#2", "gold")]
+    assert [r.message_id for r in exprs.split_expr_failed(rows, headers, "string").collect()] == ["m2"]
+
+
+def test_errors_of_routes_and_splits_stay_with_their_message(messages):
+    got = exprs.route_expr(messages, 'header("n") > 3 ? "a" : "b"', {"a": "one"}, "rest")
+    assert {r.message_id: (r.channel, r.err) for r in got.collect()} == {"m1": ("one", False), "m2": (None, True)}
+    rows = messages.withColumns({"correlation_id": F.lit(None).cast("string"), "sequence_number": F.lit(0), "sequence_size": F.lit(0)})
+    assert [r.message_id for r in exprs.split_expr_failed(rows, "[payload.Items[0].F]").collect()] == ["m2"]
+
+
 def test_size_is_capped(messages):
     with pytest.raises(exprs.InvalidExpressionError):
         exprs.compile_expression("1" + " + 1" * 6000, messages)
