@@ -46,6 +46,11 @@ def json_map(text: Column) -> Column:
     return F.transform_values(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
 
 
+def random_id() -> Column:
+    """An id for a message that has none: 32 random hex digits."""
+    return F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
+
+
 def header(headers: Column, key: str) -> Column:
     """A header's JSON text, null if missing."""
     return F.try_element_at(headers, F.lit(key))

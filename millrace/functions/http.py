@@ -33,30 +33,79 @@ def content_type(value: Column) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(DEFAULT_TYPE))
 
 
-def build_reply(request_headers: Column, reply_headers: Column, allowed: list[str]) -> Column:
-    """A reply's headers: the request's without its own id, time, type and HTTP facts, then what is allowed
-    of the reply's."""
-    base = F.map_filter(request_headers, lambda k, _: ~k.isin("message-id", "timestamp", "content-type") & ~k.startswith("http."))
-    more = F.map_filter(reply_headers, lambda k, _: k.isin(allowed) & ~F.lower(k).startswith(RESERVED_PREFIX))
+#: What a request's headers say of the request alone; its advisory correlation id stays with the flow.
+OF_REQUEST = ("message-id", "timestamp", "content-type", "http.method", "http.path", "http.query", "http.content-type")
+
+
+def build_reply(request_headers: Column, reply_headers: Column, allowed: list[str], remote_type: Column | None = None) -> Column:
+    """A reply's headers: the request's without what describes the request, then what is allowed of the
+    reply's, without line breaks and never under the reserved prefix, then the remote content type as a fact."""
+    base = F.map_filter(request_headers, lambda k, _: ~k.isin(*OF_REQUEST))
+    more = F.map_filter(reply_headers, lambda k, v: k.isin(allowed) & ~F.lower(k).startswith(RESERVED_PREFIX) & (F.coalesce(v, F.lit("")) != ""))
+    more = F.transform_values(more, lambda _, v: sanitize(v))
+    if remote_type is not None:
+        named = F.create_map(F.lit("http.content-type"), sanitize(remote_type))
+        more = F.map_concat(F.map_filter(more, lambda k, _: k != "http.content-type"), F.when(F.coalesce(remote_type, F.lit("")) != "", named).otherwise(F.map_filter(named, lambda k, _: F.lit(False))))
     return F.map_concat(F.map_filter(base, lambda k, _: F.try_element_at(more, k).isNull()), more)
 
 
 def error_status(error: Column) -> Column:
-    """The status of an error kind; null is success."""
-    known = {"timeout": 504, "closed": 503, "overflow": 503, "duplicate": 409, "panic": 500, "too_large": 413, "decode": 400, "payload_type": 400}
-    status = F.when(error.isNull(), 200)
+    """The status of an error kind. What isn't known here, none at all included, is the server's fault, and so
+    are a missing correlation and a payload that can't be written."""
+    known = {"timeout": 504, "closed": 503, "duplicate": 409, "too_large": 413, "decode": 400}
+    status = F.when(error.isNull(), 500)
     for kind, code in known.items():
         status = status.when(error == kind, code)
     return status.otherwise(500)
 
 
+def respond(df: DataFrame, result: Column, payload: Column, kind: Column, asynchronous: bool = False) -> DataFrame:
+    """Add ``status``, ``body`` and ``content_type`` of the response to every request by the result of its
+    exchange: a reply is 200 with its payload, a request that nobody waits for 202 without one, anything else
+    the status of its error. A reply that is no text or bytes can't be written and is the server's fault."""
+    kinds = dict(df.select(payload.alias("p")).dtypes)["p"] in ("string", "binary", "void")
+    if asynchronous:
+        status = F.when(result.isNull(), 202).otherwise(error_status(result))
+        return df.withColumns({"status": status.cast("int"), "body": F.lit(None).cast("string"), "content_type": F.lit(None).cast("string")})
+    ok = result == "replied"
+    status = F.when(ok, 200 if kinds else 500).otherwise(error_status(result)).cast("int")
+    told = ok & F.lit(kinds)
+    return df.withColumns({"status": status, "body": F.when(told, payload.cast("string")), "content_type": F.when(told, content_type(kind))})
+
+
+MAX_RETRY_AFTER = ((1 << 63) - 1) // 1_000_000_000
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+_DAY, _MONTH, _CLOCK = "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)", "(" + "|".join(MONTHS) + ")", r"(\d{2}:\d{2}:\d{2})"
+#: The three forms of an HTTP date, and which groups are day, month, year and time.
+DATE_FORMS = (
+    (rf"^{_DAY}, (\d{{2}}) {_MONTH} (\d{{4}}) {_CLOCK} GMT$", (1, 2, 3, 4)),
+    (rf"^(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day, (\d{{2}})-{_MONTH}-(\d{{2}}) {_CLOCK} [A-Z]{{3}}$", (1, 2, 3, 4)),
+    (rf"^{_DAY} {_MONTH} ([ \d]\d) {_CLOCK} (\d{{4}})$", (2, 1, 4, 3)),
+)
+
+
+def http_date(value: Column) -> Column:
+    """The time of an HTTP date in any of its three forms; null if it is none. Of years of two digits those
+    from 69 on are of the last century."""
+    found = None
+    for pattern, (day, month, year, clock) in DATE_FORMS:
+        part = lambda i, pattern=pattern: F.regexp_extract(value, pattern, i)
+        number = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), part(month)).cast("string"), 2, "0")
+        whole = F.when(F.length(part(year)) == 4, part(year)).otherwise(F.concat(F.when(part(year) >= "69", "19").otherwise("20"), part(year)))
+        text = F.concat(whole, F.lit("-"), number, F.lit("-"), F.lpad(F.trim(part(day)), 2, "0"), F.lit(" "), part(clock))
+        one = F.when(value.rlike(pattern), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+        found = one if found is None else F.coalesce(found, one)
+    return found
+
+
 def retry_after_seconds(value: Column, now: Column) -> Column:
-    """A Retry-After header: whole seconds, or an HTTP date (a past one is 0); null if it is neither."""
-    seconds = F.when(value.rlike(r"^\s*\d{1,9}\s*$"), F.trim(value).try_cast("bigint").cast("double"))
-    pattern = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun), \d{2} (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4} \d{2}:\d{2}:\d{2} GMT$"
-    date = F.when(value.rlike(pattern), F.try_to_timestamp(F.substring(value, 6, 20), F.lit("dd MMM yyyy HH:mm:ss")))
+    """A Retry-After header: whole seconds, or an HTTP date (a past one is 0); null if it is neither, negative
+    or longer than 64 bits of nanoseconds."""
+    text = F.trim(value)
+    seconds = F.when(text.rlike(r"^\+?\d+$"), F.ltrim(text, F.lit("+")).try_cast("bigint"))
+    date = http_date(text)
     wait = (F.unix_micros(date) - F.unix_micros(now.cast("timestamp"))) / 1_000_000
-    return F.coalesce(seconds, F.when(date.isNotNull(), F.greatest(wait, F.lit(0.0))))
+    return F.coalesce(F.when(seconds <= MAX_RETRY_AFTER, seconds.cast("double")), F.when(date.isNotNull(), F.greatest(wait, F.lit(0.0))))
 
 
 def classify_response(status: Column, retry_after: Column) -> Column:

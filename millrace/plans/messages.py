@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import envelope
-from millrace.functions import exprs
+from millrace.functions import exprs, http
 from millrace.operators import aggregate, exchange, flow
 
 from .base import query, read
@@ -273,10 +273,10 @@ def agg_group_timeout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reaped(df: DataFrame) -> DataFrame:
-    """Groups by key and type as the reaper finds them an hour before the last event; its time is a table of one row."""
-    as_of = df.agg((F.max("ts") - F.expr("interval 1 hour")).alias("as_of"))
+    """Groups by key and type as the reaper finds them an hour before the last event; its time is a scalar of the same plan."""
+    as_of = df.agg((F.max("ts") - F.expr("interval 1 hour")).alias("as_of")).scalar()
     groups = df.groupBy("group_key", "type").agg(F.count("*").alias("n_members"), F.min("ts").alias("created_at")).withColumn("released", F.col("n_members") >= 12)
-    return aggregate.reap(groups.join(F.broadcast(as_of)), F.col("as_of"), 20 * 86_400_000_000)
+    return aggregate.reap(groups, as_of, 20 * 86_400_000_000)
 
 
 @query("select cast(event_id as varchar) as message_id from events where user_id % 10 = 3")
@@ -358,6 +358,66 @@ def reply_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return exchange.unmatched(replies, exchange.correlate(requests, replies, 30 * 86_400_000_000)).select("reply_id")
 
 
+REUSED = """
+with recursive e as (select event_id, user_id % 60 as c, epoch_us(ts) as t, event_type in ('view', 'click') as ask from events),
+o as (select *, row_number() over (partition by c order by t, not ask, event_id) as rn from e),
+f as (
+  select c, rn, event_id, ask, case when ask then event_id end as open, case when ask then t + 3600000000 end as until_us, case when ask then 'accepted' else 'unmatched' end as fate, cast(null as bigint) as of_request from o where rn = 1
+  union all
+  select o.c, o.rn, o.event_id, o.ask,
+    case when o.ask then case when f.open is not null and o.t <= f.until_us then f.open else o.event_id end when f.open is not null and o.t <= f.until_us then null else f.open end,
+    case when o.ask then case when f.open is not null and o.t <= f.until_us then f.until_us else o.t + 3600000000 end when f.open is not null and o.t <= f.until_us then null else f.until_us end,
+    case when o.ask then case when f.open is not null and o.t <= f.until_us then 'duplicate' else 'accepted' end when f.open is not null and o.t <= f.until_us then 'matched' else 'unmatched' end,
+    case when not o.ask and f.open is not null and o.t <= f.until_us then f.open end
+  from f join o on o.c = f.c and o.rn = f.rn + 1
+), m as (select of_request, min(event_id) as reply_id from f where of_request is not null group by 1)
+"""
+
+
+def _reused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Views and clicks ask, the others reply, with 60 correlation ids in all."""
+    e = read(spark, d, "events").withColumn("correlation_id", (F.col("user_id") % 60).cast("string"))
+    ask = F.col("event_type").isin("view", "click")
+    requests = e.where(ask).select(F.col("event_id").alias("request_id"), "correlation_id", F.col("ts").alias("sent_at"))
+    return requests, e.where(~ask).select(F.col("event_id").alias("reply_id"), "correlation_id", F.col("ts").alias("replied_at"))
+
+
+@query(REUSED + "select event_id as request_id, reply_id, case when fate = 'duplicate' then 'duplicate' when reply_id is null then 'timeout' else 'replied' end as result from f left join m on m.of_request = event_id where ask")
+def request_reply_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """A correlation id is free again once its request is answered or has timed out."""
+    return exchange.correlate(*_reused(spark, d), 3_600_000_000).select("request_id", "reply_id", "result")
+
+
+@query(REUSED + "select event_id as reply_id from f where fate = 'unmatched'")
+def reply_unmatched_reuse(spark: SparkSession, d: str) -> DataFrame:
+    requests, replies = _reused(spark, d)
+    return exchange.unmatched(replies, exchange.correlate(requests, replies, 3_600_000_000)).select("reply_id")
+
+
+@query("""select cast(event_id as varchar) as message_id, cast(user_id as varchar) as correlation_id, true as fresh,
+  cast(case when event_id % 5 = 4 then 504 else 200 end as integer) as status, case when event_id % 5 < 4 then 'done ' || event_type end as body, case when event_id % 5 < 4 then 'text/plain' end as content_type from events""")
+def gateway_request_reply(spark: SparkSession, d: str) -> DataFrame:
+    """Request, fresh correlation key, reply, status and response of every message in one plan."""
+    msgs = envelope.events(spark, d).select("message_id", "correlation_id", "ts", F.col("payload.type").alias("type"))
+    sent = exchange.outbound(msgs, exchange.fresh_key("message_id"))
+    requests = sent.select(F.col("message_id").alias("request_id"), "correlation_id", F.col("ts").alias("sent_at"))
+    n = F.col("message_id").cast("bigint") % 5
+    # the fifth reply comes a minute late
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.when(n == 4, 91_000_000).otherwise(n * 1_000_000)).cast("timestamp_ntz")
+    replies = sent.select(F.concat(F.lit("a"), F.col("message_id")).alias("reply_id"), "correlation_id", at.alias("replied_at"), F.concat(F.lit("done "), F.col("type")).alias("body"))
+    answered = exchange.gateway(sent, exchange.correlate(requests, replies), replies.select("reply_id", "body"))
+    response = http.respond(answered, F.col("result"), F.col("body"), F.lit("text/plain"))
+    fresh = (F.col("key") != F.col("message_id")) & F.col("key").rlike("^[0-9a-f]{32}$")
+    return response.select("message_id", "correlation_id", fresh.alias("fresh"), "status", "body", "content_type")
+
+
+@query("select count(*) as n, count(*) as n_distinct, count(*) as n_formed from events")
+def random_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of messages that have none: 32 hex digits, none twice."""
+    df = read(spark, d, "events").select(envelope.random_id().alias("i"))
+    return df.agg(F.count("*").alias("n"), F.countDistinct("i").alias("n_distinct"), F.count(F.when(F.col("i").rlike("^[0-9a-f]{32}$"), 1)).alias("n_formed"))
+
+
 @query("select cast(event_id as varchar) as message_id, case when event_id % 3 > 0 then cast(user_id as varchar) end as correlation_id, 'x-' || event_id as exchange_id from events")
 def correlation_restore(spark: SparkSession, d: str) -> DataFrame:
     """An exchange in mid-flow gives the caller's correlation id back, and none if there was none."""

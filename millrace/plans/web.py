@@ -12,24 +12,26 @@ from .base import query, read
 
 NOW = "1994-11-06 08:49:00"
 STATUSES = (200, 204, 301, 400, 404, 408, 429, 500, 503)
-KINDS = ("timeout", "closed", "overflow", "duplicate", "panic", "too_large", "decode", "payload_type", "other")
+KINDS = ("timeout", "closed", "overflow", "duplicate", "panic", "too_large", "decode", "payload_type", "no_correlation", None, "other")
 
 
 def _pick(values: tuple, key: str) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values)).cast("int"))
 
 
-AFTER = "case event_id % 4 when 0 then '7' when 1 then 'Sun, 06 Nov 1994 08:49:37 GMT' when 2 then 'Sat, 05 Nov 1994 08:49:37 GMT' else 'soon' end"
-
-
 def _after() -> Column:
     m = F.col("event_id") % 4
     return F.when(m == 0, "7").when(m == 1, "Sun, 06 Nov 1994 08:49:37 GMT").when(m == 2, "Sat, 05 Nov 1994 08:49:37 GMT").otherwise("soon")
 
 
-@query("select event_id, case event_id % 4 when 0 then 7.0 when 1 then 37.0 when 2 then 0.0 end::double as seconds from events")
+AFTER_FORMS = ("7", "Sun, 06 Nov 1994 08:49:37 GMT", "Sunday, 06-Nov-94 08:49:37 GMT", "Sun Nov  6 08:49:37 1994", "Sat, 05 Nov 1994 08:49:37 GMT", "9223372036", "9223372037", "-1", " 12 ", "+3", "soon", "", None, "1.5", "Sun, 6 Nov 1994 08:49:37 GMT")
+AFTER_SECONDS = "[7, 37, 37, 37, 0, 9223372036, null, null, 12, 3, null, null, null, null, null]"
+
+
+@query(f"select event_id, cast({AFTER_SECONDS}[event_id % 15 + 1] as double) as seconds from events")
 def retry_after(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", http.retry_after_seconds(_after(), F.lit(NOW).cast("timestamp")).alias("seconds"))
+    """Seconds up to 64 bits of nanoseconds, and the three forms of a date."""
+    return read(spark, d, "events").select("event_id", http.retry_after_seconds(_pick(AFTER_FORMS, "event_id"), F.lit(NOW).cast("timestamp")).alias("seconds"))
 
 
 @query(f"""with a as (select event_id, [{', '.join(map(str, STATUSES))}][event_id % {len(STATUSES)} + 1] as status, event_id % 4 <> 3 as after from events)
@@ -40,9 +42,8 @@ def http_status_classify(spark: SparkSession, d: str) -> DataFrame:
     return df.select("event_id", "status", http.classify_response(F.col("status"), F.col("after")).alias("error"))
 
 
-@query(f"""with a as (select event_id, {list(KINDS)}[event_id % {len(KINDS)} + 1] as kind from events)
-select event_id, cast(case kind when 'timeout' then 504 when 'closed' then 503 when 'overflow' then 503 when 'duplicate' then 409 when 'panic' then 500
-  when 'too_large' then 413 when 'decode' then 400 when 'payload_type' then 400 else 500 end as integer) as status from a""")
+@query(f"""with a as (select event_id, {str(list(KINDS)).replace('None', 'null')}[event_id % {len(KINDS)} + 1] as kind from events)
+select event_id, cast(case kind when 'timeout' then 504 when 'closed' then 503 when 'duplicate' then 409 when 'too_large' then 413 when 'decode' then 400 else 500 end as integer) as status from a""")
 def error_status(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", http.error_status(_pick(KINDS, "event_id")).alias("status"))
 
@@ -68,11 +69,16 @@ def http_encode(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.try_element_at("h", F.lit("x")).alias("x"), ct.alias("content_type"), F.size("h").cast("bigint").alias("n_out"))
 
 
-@query("select event_id, 'trace=' || user_id || ',z=' || event_type as headers from events")
+@query("""select event_id, case when event_id % 2 = 0 then 'http.content-type=text/xevil,' else '' end || 'http.correlation-id=' || event_id || ',trace=' || user_id || ',z='
+  || case when event_id % 3 = 0 then 'old' else event_type || 'x' end as headers from events""")
 def http_reply_headers(spark: SparkSession, d: str) -> DataFrame:
-    req = F.create_map(F.lit("message-id"), F.lit("m"), F.lit("http.path"), F.lit("/"), F.lit("trace"), F.col("user_id").cast("string"), F.lit("z"), F.lit("old"))
-    rep = F.create_map(F.lit("z"), F.col("event_type"), F.lit("secret"), F.lit("s"))
-    merged = F.array_sort(F.map_entries(http.build_reply(req, rep, ["z"])))
+    """What describes the request goes, its advisory correlation id stays; the remote's values lose line breaks."""
+    lit = F.lit
+    req = F.create_map(lit("message-id"), lit("m"), lit("http.path"), lit("/"), lit("http.content-type"), lit("old/type"), lit("http.correlation-id"), F.col("event_id").cast("string"), lit("trace"), F.col("user_id").cast("string"), lit("z"), lit("old"))
+    value = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat("event_type", lit("\r\nx")))
+    rep = F.create_map(lit("z"), value, lit("secret"), lit("s"), lit("mr-forged"), lit("f"))
+    kind = F.when(F.col("event_id") % 2 == 0, "text/x\r\nevil")
+    merged = F.array_sort(F.map_entries(http.build_reply(req, rep, ["z", "mr-forged"], kind)))
     return read(spark, d, "events").select("event_id", F.array_join(F.transform(merged, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("headers"))
 
 
