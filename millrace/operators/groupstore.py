@@ -71,11 +71,34 @@ def expired(groups: DataFrame, now_us: int, timeout_us: int, most: int = SCAN_LI
 
 
 def admitted(df: DataFrame, store: str, order: list[str], capacity: int) -> DataFrame:
-    """Add ``admitted``: whether the message's group found room in a store of ``capacity`` live groups.
+    """Add ``admitted``: whether the message's group found room in a store of ``capacity`` live groups that
+    nothing leaves meanwhile.
 
-    One row a group is ranked by first arrival and joined back.
+    One row a group is ranked by first arrival; only the first ``capacity`` of a store reach its task, and
+    they are joined back.
     """
     first = df.groupBy(store, "group_key").agg(F.min(F.struct(*order)).alias("_first"))
     place = F.row_number().over(Window.partitionBy(store).orderBy("_first", "group_key"))
-    first = first.select(F.col(store).alias("_store"), F.col("group_key").alias("_key"), (place <= capacity).alias("admitted"))
-    return df.join(first, F.col(store).eqNullSafe(F.col("_store")) & F.col("group_key").eqNullSafe(F.col("_key"))).drop("_store", "_key")
+    first = first.withColumn("_n", place).where(F.col("_n") <= capacity).select(F.col(store).alias("_store"), F.col("group_key").alias("_key"), F.lit(True).alias("admitted"))
+    rows = df.join(first, F.col(store).eqNullSafe(F.col("_store")) & F.col("group_key").eqNullSafe(F.col("_key")), "left")
+    return rows.withColumn("admitted", F.coalesce("admitted", F.lit(False))).drop("_store", "_key")
+
+
+def bounded_store(log: DataFrame, store: str, order: list[str], capacity: int) -> DataFrame:
+    """Add ``admitted`` to a log ``(store, group_key, command)`` of adds and settles: a new group is taken while
+    fewer than ``capacity`` live ones are held, a settled group leaves room again. Members of live groups are
+    always taken; the state of a store is its live keys."""
+
+    def step(live: set | None, commands: list, keys: list) -> tuple[set, tuple]:
+        live, found = live or set(), []
+        for command, key in zip(commands, keys):
+            if command == "settle":
+                found.append(key in live)
+                live.discard(key)
+            else:
+                found.append(key in live or len(live) < capacity)
+                if found[-1]:
+                    live.add(key)
+        return live, (found,)
+
+    return fold(log, store, order, ["command", "group_key"], step, {"admitted": "boolean"})

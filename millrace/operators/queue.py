@@ -7,9 +7,11 @@ them (a micro-batch), which takes the place of row locks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 
 def _micros(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp"))
@@ -96,6 +98,78 @@ def overflow(df: DataFrame, capacity: int, policy: str, order: list[str], queue:
     return df.withColumn("status", status)
 
 
+def bounded_queue(log: DataFrame, capacity: int, policy: str, order: list[str], queue: str) -> DataFrame:
+    """Add ``status`` and ``depth`` to a log ``(queue, id, command)`` of offers and settlements, in order: an
+    offer to a full queue is ``dropped``, ``rejected`` or ``blocked`` by policy, or with ``drop_oldest`` taken
+    while the head is evicted; a settlement of an id that the queue holds makes room (``settled``), any other
+    is ``unknown``; the command ``head`` settles the oldest. A blocked offer is taken as soon as there is room,
+    before later ones. ``depth`` is what the queue holds then, and that and what waits is its state."""
+    full = {"drop_newest": "dropped", "reject": "rejected", "block": "blocked", "drop_oldest": "evicting"}[policy]
+
+    def step(state: tuple | None, commands: list, ids: list) -> tuple[tuple, tuple]:
+        held, waiting = state or ({}, [])
+        statuses, depths = [], []
+        for command, i in zip(commands, ids):
+            i = next(iter(held), None) if command == "head" else i
+            if command == "offer":
+                if len(held) < capacity:
+                    status = "accepted"
+                    held[i] = None
+                else:
+                    status = full
+                    if policy == "drop_oldest":
+                        del held[next(iter(held))]
+                        held[i] = None
+                    elif policy == "block":
+                        waiting.append(i)
+            elif i in held:
+                status = "settled"
+                del held[i]
+                if waiting:
+                    held[waiting.pop(0)] = None
+            else:
+                status = "unknown"
+            statuses.append(status)
+            depths.append(len(held))
+        return (held, waiting), (statuses, depths)
+
+    return fold(log, queue, order, ["command", "id"], step, {"status": "string", "depth": "long"})
+
+
+def scheduled(df: DataFrame, now: Column, delay_us: Column, headers: Column, payload: Column) -> DataFrame:
+    """The rows that sending messages later inserts in a queue table: invisible until their delay has passed,
+    unlocked, not delivered yet. Ids are the table's own and left out."""
+    return df.select(
+        F.col("message_id").alias("msg_id"), headers.alias("headers"), payload.cast("binary").alias("payload"), F.lit(None).cast("string").alias("locked_by"),
+        F.lit(None).cast("timestamp").alias("locked_at"), visible_after(now, delay_us).alias("visible_after"), F.lit(0).alias("delivery_count"), F.lit(0).cast("bigint").alias("lease_epoch"), now.cast("timestamp").alias("created_at"),
+    )
+
+
+class QueueChannel:
+    """A channel over a queue table: sending appends rows that are visible now, polling claims some."""
+
+    def __init__(self, spark: SparkSession, table: str, lease_us: int = 300_000_000) -> None:
+        if not table:
+            raise ValueError("a queue channel needs a store")
+        self.spark, self.table, self.lease_us = spark, table, lease_us
+
+    def send(self, df: DataFrame, now: Column, delay_us: Column | None = None) -> None:
+        rows = scheduled(df, now, delay_us if delay_us is not None else F.lit(0), F.col("headers"), F.col("payload"))
+        rows.select(F.monotonically_increasing_id().alias("id"), *rows.columns).write.insertInto(self.table)
+
+    def poll(self, now: Column, most: int, holder: str) -> DataFrame:
+        if most < 1:
+            raise ValueError("a poll takes at least one message")
+        return claim(self.spark.table(self.table), now, most, holder, self.lease_us)
+
+
+def next_poll(state: DataFrame, interval_us: int = 1_000_000, cap_us: int = 30_000_000) -> DataFrame:
+    """Add ``wait_us`` to polls ``(failures, n)``: none while messages come, the interval when there are none,
+    and after errors in a row the interval doubled for each, up to the cap."""
+    backoff = F.least(F.lit(float(cap_us)), F.lit(float(interval_us)) * F.pow(F.lit(2.0), F.least(F.col("failures") - 1, F.lit(62)).cast("double")))
+    return state.withColumn("wait_us", F.when(F.col("failures") > 0, backoff.cast("bigint")).when(F.col("n") > 0, 0).otherwise(interval_us).cast("bigint"))
+
+
 def clamp(polled: DataFrame, most: int, order: list[str], poll: str) -> DataFrame:
     """Add ``taken``: of what a poll returned over its limit, the excess goes back."""
     place = F.row_number().over(Window.partitionBy(poll).orderBy(*order))

@@ -110,7 +110,7 @@ select group_key, created_us from g where created_us < (select now from n) - 864
 def expired_scan(spark: SparkSession, d: str) -> DataFrame:
     """The 100 oldest groups over the timeout."""
     g = _timed(spark, d).groupBy(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("group_key")).agg(F.min("at_us").alias("created_us"))
-    now = g.agg(F.max("created_us")).first()[0]
+    now = g.agg(F.max("created_us")).scalar()
     return groupstore.expired(g, now, 86_400_000_000).select("group_key", "created_us")
 
 
@@ -164,7 +164,8 @@ def queue_claim_locked(spark: SparkSession, d: str) -> DataFrame:
 
 @query(QUEUE_SQL + f"""select id, timestamp '{NOW}' + to_seconds(cast(least(30.0 * pow(2.0, delivery_count), 3600.0) as bigint)) as visible_after from c where headers = '{{bad'""")
 def corrupt_row_penalty(spark: SparkSession, d: str) -> DataFrame:
-    claimed = queue.claim(_queue(spark, d), _now(), 1 << 30, "w2")
+    # all that could be claimed, as it is after a claim; no order, no limit
+    claimed = queue.claimable(_queue(spark, d), _now(), 300_000_000).withColumn("delivery_count", F.col("delivery_count") + 1)
     return queue.corrupt(claimed, _now())[1].select("id", F.col("visible_after").cast("timestamp_ntz").alias("visible_after"))
 
 
@@ -194,7 +195,7 @@ def dedup_inbox(spark: SparkSession, d: str) -> DataFrame:
 @query("with n as (select max(ts) as now from events) select event_id from events where not ts < (select now from n) - interval 10 day")
 def inbox_purge(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    now = e.agg(F.max("ts")).scalar()
     return queue.purge(e, now, 10 * 86_400_000_000, "ts").select("event_id")
 
 
@@ -225,6 +226,86 @@ def overflow_block(spark: SparkSession, d: str) -> DataFrame:
     return _overflow(spark, d, "block")
 
 
+BOUNDED = """
+with recursive o as (select user_id, event_id, event_type = 'view' as settle, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+f as (
+  select user_id, event_id, rn, case when settle then [] else [event_id] end as held, case when settle then 'unknown' else 'accepted' end as status from o where rn = 1
+  union all
+  select o.user_id, o.event_id, o.rn,
+    case when o.settle then list_slice(f.held, 2, len(f.held)) when len(f.held) < 3 then list_append(f.held, o.event_id) {full_held} end,
+    case when o.settle then case when len(f.held) > 0 then 'settled' else 'unknown' end when len(f.held) < 3 then 'accepted' else '{full}' end
+  from f join o on o.user_id = f.user_id and o.rn = f.rn + 1
+) select event_id, status, cast(len(held) as bigint) as depth from f"""
+
+
+def _bounded(spark: SparkSession, d: str, policy: str) -> DataFrame:
+    """Views settle the oldest message that a queue of three holds, all others are offers. What a settlement
+    names depends on the policy, so the log says only that it is one of the head."""
+    e = read(spark, d, "events")
+    log = e.withColumn("command", F.when(F.col("event_type") == "view", "head").otherwise("offer")).withColumn("id", F.col("event_id"))
+    return queue.bounded_queue(log, 3, policy, ["ts", "event_id"], "user_id").select("event_id", "status", "depth")
+
+
+@query(BOUNDED.format(full="dropped", full_held="else f.held"))
+def overflow_with_settlements(spark: SparkSession, d: str) -> DataFrame:
+    """Settlements free the queue."""
+    return _bounded(spark, d, "drop_newest")
+
+
+@query(BOUNDED.format(full="evicting", full_held="else list_append(list_slice(f.held, 2, 3), o.event_id)"))
+def overflow_evicting(spark: SparkSession, d: str) -> DataFrame:
+    """A full queue loses its head to a new message."""
+    return _bounded(spark, d, "drop_oldest")
+
+
+@query("select event_id, case when event_id % 4 > 0 then least(30000000, 1000000 * pow(2, event_id % 4 - 1)) when event_id % 3 > 0 then 0 else 1000000 end::bigint as wait_us from events")
+def poll_backoff(spark: SparkSession, d: str) -> DataFrame:
+    """How long a poll loop waits: not at all, an interval, or longer after each error."""
+    state = read(spark, d, "events").select("event_id", (F.col("event_id") % 4).alias("failures"), (F.col("event_id") % 3).alias("n"))
+    return queue.next_poll(state).select("event_id", "wait_us")
+
+
+@query("""with recursive o as (select event_type as store, event_id, user_id as k, user_id % 4 = 0 and event_id % 2 = 0 as settle, row_number() over (partition by event_type order by ts, event_id) as rn from events),
+f as (
+  select store, event_id, rn, case when settle then [] else [k] end as live, not settle as admitted from o where rn = 1
+  union all
+  select o.store, o.event_id, o.rn,
+    case when o.settle then list_filter(f.live, lambda x: x <> o.k) when list_contains(f.live, o.k) then f.live when len(f.live) < 40 then list_append(f.live, o.k) else f.live end,
+    case when o.settle then list_contains(f.live, o.k) else list_contains(f.live, o.k) or len(f.live) < 40 end
+  from f join o on o.store = f.store and o.rn = f.rn + 1
+) select event_id, admitted from f""")
+def group_capacity_freed(spark: SparkSession, d: str) -> DataFrame:
+    """A settled group leaves room for another one."""
+    command = F.when((F.col("user_id") % 4 == 0) & (F.col("event_id") % 2 == 0), "settle").otherwise("add")
+    log = read(spark, d, "events").withColumn("group_key", F.col("user_id").cast("string")).withColumn("command", command)
+    return groupstore.bounded_store(log, "event_type", ["ts", "event_id"], 40).select("event_id", "admitted")
+
+
+@query("""with recursive o as (select user_id, event_id, epoch_us(ts) as t, 1 + (event_id % 500) * 600000000 as took, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+f as (
+  select user_id, event_id, rn, t as start_us, [t + took] as ends from o where rn = 1
+  union all
+  select o.user_id, o.event_id, o.rn, case when len(f.ends) < 2 then o.t else greatest(o.t, list_min(f.ends)) end,
+    list_append(case when len(f.ends) < 2 then f.ends else list_slice(list_sort(f.ends), 2, 2) end, (case when len(f.ends) < 2 then o.t else greatest(o.t, list_min(f.ends)) end) + o.took)
+  from f join o on o.user_id = f.user_id and o.rn = f.rn + 1
+) select event_id, start_us from f""")
+def credit_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Two messages of a user in flight at once; the next one waits for a credit."""
+    df = _timed(spark, d).withColumn("end_us", F.col("at_us") + 1 + (F.col("event_id") % 500) * 600_000_000)
+    return flowctl.credit_gate(df, "user_id", "at_us", "end_us", ["at_us", "event_id"], 2).select("event_id", "start_us")
+
+
+@query("""select cast(event_id as varchar) as msg_id, '{"k":' || event_id % 7 || '}' as headers, event_type as payload, ts + to_milliseconds(greatest(event_id % 100 - 20, 0)) as visible_after,
+  cast(0 as integer) as delivery_count, 0::bigint as lease_epoch, true as unlocked, ts as created_at from events""")
+def scheduled_insert(spark: SparkSession, d: str) -> DataFrame:
+    """What a delayed send inserts in a queue table."""
+    e = read(spark, d, "events").withColumn("message_id", F.col("event_id").cast("string"))
+    headers = F.concat(F.lit('{"k":'), (F.col("event_id") % 7).cast("string"), F.lit("}"))
+    rows = queue.scheduled(e, F.col("ts"), (F.col("event_id") % 100 - 20) * 1000, headers, F.col("event_type"))
+    time = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return rows.select("msg_id", "headers", F.col("payload").cast("string").alias("payload"), time("visible_after"), "delivery_count", "lease_epoch", F.col("locked_by").isNull().alias("unlocked"), time("created_at"))
+
+
 def _timed(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp")))
 

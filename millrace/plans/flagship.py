@@ -12,10 +12,15 @@ from .base import query, read
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
 
 
-def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as messages whose payload is the array of their lines in a fixed order."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER))).alias("payload"))
-    orders = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+def order_messages(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
+    """Orders as messages whose payload is the array of their lines in a fixed order; with ``status`` lines of
+    other orders are dropped before they are collected."""
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    if status is not None:
+        wanted = orders.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("l_orderkey"))
+        lines = lines.join(wanted, "l_orderkey", "left_semi")
+    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER))).alias("payload"))
+    orders = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return orders.select(
         F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("message_id"), F.lit(None).cast("string").alias("correlation_id"),
         F.lit(None).cast("int").alias("sequence_number"), F.lit(None).cast("int").alias("sequence_size"), F.col("o_orderstatus").alias("status"), "payload",
@@ -50,7 +55,7 @@ from totals group by 1
 def order_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, split with sequence stamps, transform, aggregate by sequence size, route, count."""
     steps = flow.chain(flow.filter_(F.col("status") == "F", "discarded"), flow.split(F.col("payload")), flow.transform(_cents()))
-    children, _ = aggregate.correlated(steps(order_messages(spark, sf_dir)).main, F.col("correlation_id"))
+    children, _ = aggregate.correlated(steps(order_messages(spark, sf_dir, "F")).main, F.col("correlation_id"))
     groups = aggregate.whole_groups(children, ["sequence_number"], {"cents": F.sum("payload")}).where("released")
     channel = F.when(F.col("cents") >= 30000000, "large").when(F.col("cents") >= 10000000, "medium").otherwise("small")
     return groups.groupBy(channel.alias("channel")).agg(F.count("*").alias("n_orders"), F.sum("n_members").alias("n_lines"), F.sum("cents").cast("bigint").alias("cents"))
