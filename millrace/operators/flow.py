@@ -28,10 +28,11 @@ class SubscriptionError(FlowError):
 
 @dataclass
 class Out:
-    """The main output of a step and its named side outputs."""
+    """The main output of a step, its named side outputs, and what goes where at terminal steps."""
 
     main: DataFrame
     sides: dict[str, DataFrame] = field(default_factory=dict)
+    ends: list[tuple[str, DataFrame, Callable[[DataFrame], None] | None]] = field(default_factory=list)
 
 
 Step = Callable[[DataFrame], "DataFrame | Out"]
@@ -47,7 +48,7 @@ def chain(*steps: Step) -> Callable[[DataFrame], Out]:
             sides = dict(done.sides)
             for name, side in out.sides.items():
                 sides[name] = sides[name].unionByName(side, allowMissingColumns=True) if name in sides else side
-            return Out(out.main, sides)
+            return Out(out.main, sides, done.ends + out.ends)
 
         return reduce(one, steps, Out(df))
 
@@ -74,6 +75,38 @@ def activate(service: Callable[[DataFrame], DataFrame]) -> Step:
     return service
 
 
+Sink = Callable[[DataFrame], None]
+
+
+class NoSinkError(FlowError):
+    """A terminal step without a sink."""
+
+
+class NoFunctionError(FlowError):
+    """A step without the function that it calls."""
+
+
+def to(sink: Sink | None, name: str = "to") -> Step:
+    """A terminal step: all messages go to the sink when the flow is delivered, none goes on. A missing sink is
+    an error then, not before."""
+    return lambda df: Out(df.limit(0), ends=[(name, df, sink)])
+
+
+def consume(service: Callable[[DataFrame], None] | None, name: str = "consumed") -> Step:
+    """A one-way call of a service for its effect; none goes on."""
+    if service is None:
+        raise NoFunctionError("nothing to call")
+    return to(service, name)
+
+
+def deliver(out: Out) -> None:
+    """Write everything that reached a terminal step; the first sink that fails stops it."""
+    for name, df, sink in out.ends:
+        if sink is None:
+            raise NoSinkError(f"{name}: no sink")
+        sink(df)
+
+
 def route(key: Column, routes: dict[str, str], default: str | None = None, column: str = "channel") -> Step:
     """Add the channel that ``routes`` names for the key; without one the default, else null.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,30 +11,50 @@ from pyspark.sql import functions as F
 ACK, INVALID, DEAD, RETRY = "ack", "invalid", "dead_letter", "retry"
 
 
+#: Seconds that a delay in 64 bits of nanoseconds can't reach.
+LONGEST = (1 << 63) / 1_000_000_000
+
+
 @dataclass(frozen=True)
 class Backoff:
-    """Exponential delays in seconds; jitter is left to the caller, as comparable plans have none."""
+    """Exponential delays in seconds, spread by a share of ``jitter`` to either side (0: none, so that plans
+    can be compared); ``seed`` fixes the spread."""
 
     initial: float
     multiplier: float = 2.0
     most: float = 0.0
+    jitter: float = 0.0
+    seed: int | None = None
 
     def delay(self, attempt: Column) -> Column:
-        """The delay before the attempt with this index, from 0: no longer than ``most`` if that is set."""
+        """The delay before the attempt with this index, from 0: no longer than ``most`` if that is set, also
+        after the spread. What is too long for a delay is ``most``, or the initial one."""
         if self.initial <= 0:
             return F.lit(0.0)
-        grown = F.lit(float(self.initial)) * F.pow(F.lit(float(self.multiplier if self.multiplier > 0 else 1.0)), attempt.cast("double"))
+        n = F.greatest(attempt.cast("double"), F.lit(0.0))
+        grown = F.lit(float(self.initial)) * F.pow(F.lit(float(self.multiplier if self.multiplier > 0 else 1.0)), n)
+        fits = (grown < F.lit(LONGEST)) & ~F.isnan(grown)
+        found = F.when(fits, grown).otherwise(F.lit(float(self.most if self.most > 0 else self.initial)))
         if self.most > 0:
-            return F.least(F.lit(float(self.most)), grown)
-        finite = (grown < F.lit(float("inf"))) & ~F.isnan(grown)
-        return F.when(finite, grown).otherwise(F.lit(float(self.initial)))
+            found = F.least(F.lit(float(self.most)), found)
+        if self.jitter > 0:
+            spread = F.rand(self.seed) if self.seed is not None else F.rand()
+            found = F.least(F.greatest(found * (1 - self.jitter + spread * (2 * self.jitter)), F.lit(0.0)), F.lit(LONGEST))
+            found = F.least(F.lit(float(self.most)), found) if self.most > 0 else found
+        return found
+
+
+class Strategy(Protocol):
+    """What a policy needs of a backoff: the delay before the attempt with this index, from 0."""
+
+    def delay(self, attempt: Column) -> Column: ...
 
 
 @dataclass(frozen=True)
 class RetryPolicy:
     """Attempts and their delays; 0 attempts means for ever, a finite number needs a dead-letter sink."""
 
-    backoff: Backoff
+    backoff: Strategy
     max_attempts: int = 0
     dead_letter: bool = False
 
@@ -79,6 +100,19 @@ def settle(df: DataFrame, error: Column, attempt: Column, policy: RetryPolicy, d
     return df.withColumn("delay", F.when(F.col("outcome") == RETRY, policy.backoff.delay(attempt - 1)))
 
 
+def divert(settled: DataFrame, refused: Column, attempt: Column, policy: RetryPolicy) -> DataFrame:
+    """What becomes of settled messages whose invalid or dead-letter sink refuses them: they were not diverted,
+    so they are tried again after a backoff. Adds ``diverted`` and ``event``, the hook that is called for the
+    message: ``acked``, ``invalid``, ``dead_lettered`` or ``retried``."""
+    bound = F.col("outcome").isin(INVALID, DEAD)
+    back = bound & F.coalesce(refused, F.lit(False))
+    rows = settled.withColumn("diverted", bound & ~back)
+    rows = rows.withColumn("delay", F.when(back, policy.backoff.delay(attempt - 1)).otherwise(F.col("delay")))
+    rows = rows.withColumn("outcome", F.when(back, RETRY).otherwise(F.col("outcome")))
+    event = F.when(F.col("outcome") == ACK, "acked").when(F.col("outcome") == INVALID, "invalid").when(F.col("outcome") == DEAD, "dead_lettered").otherwise("retried")
+    return rows.withColumn("event", event)
+
+
 def payload_too_large(payload: Column, most: int) -> Column:
     """Wire payloads over the cap are a permanent error."""
     return F.octet_length(payload) > most
@@ -93,7 +127,7 @@ def healthy(error: Column) -> Column:
 class ProducerRetry:
     """A producer's own attempts, in seconds."""
 
-    backoff: Backoff
+    backoff: Strategy
     max_attempts: int = 0
     budget: float = 120.0
     retry_after_cap: float = 60.0
@@ -106,9 +140,9 @@ class ProducerRetry:
     def most_attempts(self) -> int | None:
         """A number of attempts that no message exceeds; None if neither attempts nor budget over the shortest wait give one."""
         bounds = [self.max_attempts] if self.max_attempts > 0 else []
-        shortest = self.least_wait
-        if self.backoff.initial > 0 and self.backoff.multiplier >= 1:
-            shortest = max(shortest, min(self.backoff.initial, self.backoff.most or self.backoff.initial))
+        shortest, b = self.least_wait, self.backoff
+        if isinstance(b, Backoff) and b.initial > 0 and b.multiplier >= 1 and not b.jitter:
+            shortest = max(shortest, min(b.initial, b.most or b.initial))
         if self.budget > 0 and shortest > 0:
             # the one whose wait overruns is the last; one more for rounding of the sum of waits
             bounds.append(int(self.budget / shortest) + 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, delivery, flagship, messages, streams, web  # noqa: F401  importing registers
+from . import base, delivery, edges, flagship, messages, streams, web  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, base.Query]:

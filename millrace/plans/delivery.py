@@ -35,7 +35,7 @@ def settlement_native_dead_letter(spark: SparkSession, d: str) -> DataFrame:
     return settle.settle(read(spark, d, "events"), event_error(), F.lit(9), policy, native_dead_letter=True).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("select event_id, cast(event_id % 40 as bigint) as attempt, least(60.0, 0.5 * pow(2.0, event_id % 40)) as capped, pow(2.0, event_id % 40) as free from events")
+@query("select event_id, cast(event_id % 40 as bigint) as attempt, least(60.0, 0.5 * pow(2.0, event_id % 40)) as capped, case when event_id % 40 < 34 then pow(2.0, event_id % 40) else 1.0 end as free from events")
 def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("event_id") % 40
     return read(spark, d, "events").select("event_id", n.alias("attempt"), Backoff(0.5, 2.0, 60.0).delay(n).alias("capped"), Backoff(1.0).delay(n).alias("free"))
@@ -114,15 +114,6 @@ def expired_scan(spark: SparkSession, d: str) -> DataFrame:
     return groupstore.expired(g, now, 86_400_000_000).select("group_key", "created_us")
 
 
-@query()
-def group_store_log(spark: SparkSession, d: str) -> DataFrame:
-    """Events as commands on leased groups; checked against a plain replay in the tests."""
-    m = F.col("event_id") % 6
-    command = F.when(m < 3, "add").when(m == 3, "claim").when(m == 4, "settle").otherwise("abandon")
-    log = _timed(spark, d).select(F.col("user_id").cast("string").alias("group_key"), "event_id", command.alias("command"), F.concat(F.lit("m"), (F.col("event_id") % 7).cast("string")).alias("message_id"), (F.col("event_id") % 3).alias("epoch_given"), "at_us")
-    return groupstore.replay(log, ["at_us", "event_id"]).select("event_id", "group_key", "command", "message_id", "epoch_given", "at_us", "result", "members", "epoch", "created_us")
-
-
 def _queue(spark: SparkSession, d: str) -> DataFrame:
     """Orders as rows of a queue: some delayed, some leased, some leases over, some headers unreadable."""
     o, now = read(spark, d, "orders"), F.lit(NOW).cast("timestamp_ntz")

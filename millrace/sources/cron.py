@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace import envelope
 from millrace.operators.folds import fold
 
 DESCRIPTORS = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0", "@daily": "0 0 * * *", "@midnight": "0 0 * * *", "@hourly": "0 * * * *"}
 MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 DAYS = {d: i for i, d in enumerate("sun mon tue wed thu fri sat".split())}
-UNITS = {"h": 3600, "m": 60, "s": 1}
+UNITS = {"h": 3600, "m": 60, "s": 1, "ms": 1e-3, "us": 1e-6, "µs": 1e-6, "ns": 1e-9}
 
 
 class InvalidScheduleError(ValueError):
@@ -51,14 +53,23 @@ def _field(text: str, low: int, high: int, names: dict[str, int] | None = None)
     return frozenset(found)
 
 
+def _starred(field: str) -> bool:
+    """Whether a field of days leaves them open; one with a step above 1 does not."""
+    parts = (part.partition("/") for part in field.split(","))
+    return any(first in ("*", "?") and (not step or int(step) == 1) for first, _, step in parts)
+
+
 def parse(spec: str, with_seconds: bool = False) -> Schedule:
     """Five fields (six with seconds), a descriptor, or ``@every`` with a duration."""
     spec = spec.strip()
     if spec.startswith("@every "):
-        found = re.findall(r"(\d+)(h|m|s)", spec[7:])
-        if not found or "".join(a + b for a, b in found) != spec[7:].strip() or not sum(int(a) * UNITS[b] for a, b in found):
+        text = spec[7:].strip()
+        found = re.findall(r"(\d+(?:\.\d*)?|\.\d+)(ms|us|µs|ns|h|m|s)", text)
+        total = sum(float(a) * UNITS[b] for a, b in found)
+        if not found or "".join(a + b for a, b in found) != text or total <= 0:
             raise InvalidScheduleError(f"can't read {spec!r}")
-        return Schedule(every=sum(int(a) * UNITS[b] for a, b in found))
+        # whole seconds, one at least
+        return Schedule(every=max(1, int(total + 1e-9)))
     if spec.startswith("@"):
         if spec not in DESCRIPTORS:
             raise InvalidScheduleError(f"unknown {spec!r}")
@@ -68,7 +79,7 @@ def parse(spec: str, with_seconds: bool = False) -> Schedule:
         raise InvalidScheduleError(f"{spec!r} has {len(fields)} fields")
     seconds = _field(fields[0], 0, 59) if with_seconds else frozenset({0})
     minute, hour, day, month, weekday = fields[-5:]
-    both = day[0] not in "*?" and weekday[0] not in "*?"
+    both = not _starred(day) and not _starred(weekday)
     schedule = Schedule(seconds, _field(minute, 0, 59), _field(hour, 0, 23), _field(day, 1, 31), _field(month, 1, 12, MONTHS), _field(weekday, 0, 6, DAYS), both)
     longest = {2: 29, 4: 30, 6: 30, 9: 30, 11: 30}
     if not both and all(min(schedule.days) > longest.get(m, 31) for m in schedule.months):
@@ -93,6 +104,15 @@ def fires(spark: SparkSession, schedule: Schedule, start: str, end: str, zone: s
     return grid.where(fits & F.second(t).isin(list(schedule.seconds))).select(F.col("fire_ts").cast("timestamp_ntz").alias("fire_ts"))
 
 
+def messages(fired: DataFrame, factory: Callable[[Column], Column] | None, scope: str) -> DataFrame:
+    """A message for each fire: the payload that the factory makes of its time, and an id of scope and time,
+    so the same fire has the same id wherever it is made."""
+    if factory is None:
+        raise InvalidScheduleError("a schedule needs a factory of payloads")
+    at = F.col("fire_ts")
+    return envelope.new(fired, factory(at), F.concat(F.lit(f"{scope}@"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")), at)
+
+
 def single_fire(claims: DataFrame, order: list[str]) -> DataFrame:
     """Of claims ``(scope, fire_ts, ...)`` the first of each fire wins."""
     rank = F.row_number().over(Window.partitionBy("scope", "fire_ts").orderBy(*order))

@@ -1,11 +1,14 @@
 """A polling source over a spool folder of JSON lines, as a Python data source.
 
-Each micro-batch takes at most ``maxPerPoll`` messages, in the order of file names and lines; the offset is
-the number of messages taken so far. Written lines must not change.
+Each micro-batch takes at most ``maxPerPoll`` messages, in the order of file names and lines; the offset is a
+file and a place in it, so a poll opens only the files that it reads from and reads no byte twice. Written
+lines must not change; a last line without its end is not taken yet, one that is no JSON is a message without
+fields whose ``payload`` is the line.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -18,27 +21,48 @@ FIELDS = ("message_id", "correlation_id", "ts", "headers", "payload")
 MAX_PER_POLL = 100
 
 
+def _row(line: str) -> tuple:
+    try:
+        one = json.loads(line)
+    except ValueError:
+        one = None
+    if not isinstance(one, dict):
+        return (None,) * (len(FIELDS) - 1) + (line,)
+    return tuple(None if one.get(k) is None else one[k] if isinstance(one[k], str) else json.dumps(one[k]) for k in FIELDS)
+
+
 class SpoolReader(SimpleDataSourceStreamReader):
     def __init__(self, folder: str, most: int) -> None:
         self.folder, self.most = folder, most
 
-    def _rows(self) -> list[tuple]:
-        lines = [line for f in sorted(Path(self.folder).glob("*.jsonl")) for line in f.read_text().splitlines() if line.strip()]
-        rows = []
-        for line in lines:
-            one = json.loads(line)
-            rows.append(tuple(None if one.get(k) is None else one[k] if isinstance(one[k], str) else json.dumps(one[k]) for k in FIELDS))
-        return rows
+    def _from(self, start: dict) -> Iterator[tuple[tuple, dict]]:
+        """Messages from an offset on, each with the offset after it."""
+        for path in sorted(Path(self.folder).glob("*.jsonl")):
+            if path.name < start["file"]:
+                continue
+            with path.open("rb") as f:
+                at = f.seek(start["at"] if path.name == start["file"] else 0)
+                for raw in f:
+                    if not raw.endswith(b"\n"):
+                        break
+                    at += len(raw)
+                    if line := raw.decode("utf-8", "replace").strip():
+                        yield _row(line), {"file": path.name, "at": at}
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"taken": 0}
+        return {"file": "", "at": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._rows()[start["taken"] : start["taken"] + self.most]
-        return iter(rows), {"taken": start["taken"] + len(rows)}
+        rows, end = [], start
+        for row, end in self._from(start):  # noqa: B007  the last one is the end
+            rows.append(row)
+            if len(rows) == self.most:
+                break
+        return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter(self._rows()[start["taken"] : end["taken"]])
+        upto = (end["file"], end["at"])
+        return (row for row, _ in itertools.takewhile(lambda x: (x[1]["file"], x[1]["at"]) <= upto, self._from(start)))
 
 
 class SpoolSource(DataSource):

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-MEMBER = "message_id string, place long, size int, value double"
 OUTPUT = "group_key string, batch long, n_members long, total double, first_id string, fate string"
 
 
@@ -26,8 +25,12 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
+META = "batch long, timer long, n long, total double, first_id string, size long"
+
+
 class GroupProcessor(StatefulProcessor):
-    """Holds the members of a live group; ``completion_size`` 0 means the first member's sequence size.
+    """Holds a live group: how many members, their total, the first one, and the ids, to which a batch only
+    appends unless it releases the group; ``completion_size`` 0 means the first member's sequence size.
 
     A repeated id changes nothing while its group lives and is forgotten with it. An incomplete group goes
     to ``expired`` when the timeout after its first member has passed. Members are kept in arrival order.
@@ -38,42 +41,44 @@ class GroupProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.members = handle.getListState("members", MEMBER)
-        self.meta = handle.getValueState("meta", "batch long, timer long")
-
-    def _row(self, key: str, batch: int, members: list[tuple], fate: str) -> tuple:
-        return key, batch, len(members), float(sum(m[3] for m in members)), members[0][0], fate
+        self.ids = handle.getListState("ids", "message_id string")
+        self.meta = handle.getValueState("meta", META)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        live = [tuple(m) for m in self.members.get()]
-        batch, timer = self.meta.get() if self.meta.exists() else (0, 0)
-        done = []
+        batch, timer, n, total, first, size = self.meta.get() if self.meta.exists() else (0, 0, 0, 0.0, None, 0)
+        live = {i for (i,) in self.ids.get()} if n else set()
+        done, fresh, released = [], [], False
         for pdf in rows:
             for m in pdf.sort_values(["place", "message_id"]).itertuples(index=False):
-                if any(m.message_id == x[0] for x in live):
+                if m.message_id in live:
                     continue
-                size = 0 if pd.isna(m.size_) else int(m.size_)
-                live.append((m.message_id, int(m.place), size, float(m.value)))
+                if not n:
+                    first, size, total = m.message_id, 0 if pd.isna(m.size_) else int(m.size_), 0.0
+                live.add(m.message_id)
+                fresh.append((m.message_id,))
+                n, total = n + 1, total + float(m.value)
                 if self.timeout_ms and not timer:
                     timer = int(timerValues.getCurrentProcessingTimeInMs()) + self.timeout_ms
                     self.handle.registerTimer(timer)
-                enough = self.completion_size or live[0][2]
-                if enough and len(live) >= enough:
-                    done.append(self._row(key[0], batch, live, "output"))
-                    live, batch = [], batch + 1
+                enough = self.completion_size or size
+                if enough and n >= enough:
+                    done.append((key[0], batch, n, total, first, "output"))
+                    live, fresh, released, batch, n = set(), [], True, batch + 1, 0
                     if timer:
                         self.handle.deleteTimer(timer)
                         timer = 0
-        self.members.put(live) if live else self.members.clear()
-        self.meta.update((batch, timer))
+        if released:
+            self.ids.put(fresh) if fresh else self.ids.clear()
+        elif fresh:
+            self.ids.appendList(fresh)
+        self.meta.update((batch, timer, n, total, first, size))
         yield pd.DataFrame(done, columns=["group_key", "batch", "n_members", "total", "first_id", "fate"])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        live = [tuple(m) for m in self.members.get()]
-        batch, _ = self.meta.get() if self.meta.exists() else (0, 0)
-        self.members.clear()
-        self.meta.update((batch + 1, 0))
-        rows = [self._row(key[0], batch, live, "expired")] if live else []
+        batch, _, n, total, first, _ = self.meta.get() if self.meta.exists() else (0, 0, 0, 0.0, None, 0)
+        self.ids.clear()
+        self.meta.update((batch + 1, 0, 0, 0.0, None, 0))
+        rows = [(key[0], batch, n, total, first, "expired")] if n else []
         yield pd.DataFrame(rows, columns=["group_key", "batch", "n_members", "total", "first_id", "fate"])
 
     def close(self) -> None:

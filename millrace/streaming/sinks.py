@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,17 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def stop_gracefully(query: StreamingQuery, within_s: float = 30.0, poll_s: float = 0.05) -> bool:
+    """Stop a query between two batches, so that what it has begun is settled; after ``within_s`` seconds it is
+    stopped anyway. True if it came to a rest in time."""
+    until = time.monotonic() + within_s
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+        time.sleep(poll_s)
+    rested = not (query.isActive and query.status["isTriggerActive"])
+    query.stop()
+    return rested
+
+
 def outbox(stream: DataFrame, handler: Callable[[DataFrame], tuple[DataFrame, DataFrame]], business: str, messages: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write a handler's rows and the messages it sends in one micro-batch; a repeated batch overwrites both."""
 

@@ -73,10 +73,10 @@ def test_repeated_adds_and_missing_sizes(spark):
 
 def test_exchange_takes_each_reply_once_and_notes_doubles(spark):
     ts = lambda c: F.timestamp_micros(F.col(c) * 1_000_000).cast("timestamp_ntz").alias(c)
-    q = spark.createDataFrame([(1, "a", 0), (2, "a", 5), (3, "b", 0), (4, "c", 0)], "request_id long, correlation_id string, sent_at long").select("request_id", "correlation_id", ts("sent_at"))
+    q = spark.createDataFrame([(1, "a", 0), (5, "a", 2), (2, "a", 5), (3, "b", 0), (4, "c", 0)], "request_id long, correlation_id string, sent_at long").select("request_id", "correlation_id", ts("sent_at"))
     p = spark.createDataFrame([(10, "a", 3), (11, "a", 4), (12, "b", 40), (13, "zz", 1)], "reply_id long, correlation_id string, replied_at long").select("reply_id", "correlation_id", ts("replied_at"))
     got = exchange.correlate(q, p)
-    assert {r.request_id: (r.result, r.reply_id) for r in got.collect()} == {1: ("replied", 10), 2: ("duplicate", None), 3: ("timeout", None), 4: ("timeout", None)}
+    assert {r.request_id: (r.result, r.reply_id) for r in got.collect()} == {1: ("replied", 10), 5: ("duplicate", None), 2: ("timeout", None), 3: ("timeout", None), 4: ("timeout", None)}
     assert {r.reply_id for r in exchange.unmatched(p, got).collect()} == {11, 12, 13}
 
 

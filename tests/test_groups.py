@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import http
 from millrace.operators import aggregate, groupstore, settle
-from millrace.plans import delivery
+from millrace.plans import edges
 from millrace.sources import memory
 
 
@@ -22,7 +22,7 @@ def test_leases_end_and_are_given_up(spark):
 
 
 def test_log_against_a_plain_replay(spark, sf_dir):
-    rows = delivery.group_store_log(spark, sf_dir).collect()
+    rows = edges.group_store_log(spark, sf_dir).collect()
     state = {}
     for r in sorted(rows, key=lambda r: (r.group_key, r.at_us, r.event_id)):
         s = state.setdefault(r.group_key, {"live": [], "claimed": set(), "epoch": 0, "lock": None, "made": None})
