@@ -2,8 +2,8 @@
 
 Each micro-batch takes at most ``maxPerPoll`` messages, in the order of file names and lines; the offset is a
 file and a place in it, so a poll opens only the files that it reads from and reads no byte twice. Written
-lines must not change; a last line without its end is not taken yet, one that is no JSON is a message without
-fields whose ``payload`` is the line.
+lines must not change; a last line without its end is not taken until it is a whole object, a line that is no
+JSON is a message without fields whose ``payload`` is the line.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ class SpoolReader(SimpleDataSourceStreamReader):
             with path.open("rb") as f:
                 at = f.seek(start["at"] if path.name == start["file"] else 0)
                 for raw in f:
-                    if not raw.endswith(b"\n"):
+                    if not raw.endswith(b"\n") and _row(raw.decode("utf-8", "replace"))[:4] == (None,) * 4:
                         break
                     at += len(raw)
                     if line := raw.decode("utf-8", "replace").strip():

@@ -50,7 +50,8 @@ def test_release_rules(spark):
     rows = [("g", i, {"p": str(i)}, (v,), 3) for i, v in enumerate([1, 5, 2, 9])]
     df = spark.createDataFrame(rows, "group_key string, at int, headers map<string,string>, payload struct<v:int>, sequence_size int")
     got = aggregate.by_release_expr(df, ["at"], 'len(messages) >= size && any(messages, {.payload.v > 4}) && messages[0].header("p") < 1')
-    assert [r.complete for r in got.orderBy("at").collect()] == [False, False, True, True]
+    # the third member completes the group; the fourth begins one whose first header is 3
+    assert [(r.batch, r.place, r.complete, r.err) for r in got.orderBy("at").collect()] == [(0, 1, False, False), (0, 2, False, False), (0, 3, True, False), (1, 1, False, False)]
     flat = df.select("group_key", "at", F.col("payload.v").alias("v"))
     got = aggregate.by_release(flat, ["at"], lambda live: sum(m["v"] for m in live) > 5).orderBy("at").collect()
     assert [(r.batch, r.place) for r in got] == [(0, 1), (0, 2), (1, 1), (1, 2)]
