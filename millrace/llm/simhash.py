@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stash, table
+from . import similar
+from ._common import stash, table, unused
 from ._text import column
 from .components import connected
 
@@ -185,24 +186,49 @@ def near_classes(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFram
     return rows.select("doc_id", "th", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns kept, that stand for their class: the smallest doc_id.
 
     Rows without a doc_id all stay. Of every class one row stays, also where ids are repeated: classes are
-    told apart by their root, not by an id that two of them may share.
+    told apart by their root, not by an id that two of them may share. With ``similarity`` texts are linked
+    too whose sets of five-word shingles are that similar, see ``similar``.
     """
-    rows = _rooted(docs, radius, shingle).where("doc_id is not null")
+    if similarity is None:
+        rows = _rooted(docs, radius, shingle).where("doc_id is not null")
+    else:
+        rows = _rooted_by_both(docs, radius, shingle, similarity)
+    doc, of = unused(docs, "doc", "th")
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("one"))
-    first = stash(first.select(F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th")), "simhash-first")
+    first = stash(first.select(F.col("one.doc_id").alias(doc), F.col("one.th").alias(of)), "simhash-first")
     ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     known = docs.where("doc_id is not null")
-    kept = known.join(first, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
+    kept = known.join(first, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(of)), "left_semi")
     if ids[0] != ids[1]:
         # a row of the same id and text is in the same class
-        kept = kept.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+        kept = kept.withColumn(of, F.xxhash64("text")).dropDuplicates(["doc_id", of]).drop(of)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
+def _rooted_by_both(docs: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """``(doc_id, th, root)`` per row with an id, by links of fingerprints and of similar sets together.
+
+    Nodes are sets of shingles; texts with one fingerprint link to the least of its nodes, fingerprints that
+    link do so by these.
+    """
+    known = docs.where("doc_id is not null")
+    fps = stash(fingerprints(known, shingle), "simhash")
+    placed = similar.nodes(known)
+    of = placed.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "node")
+    pairs = stash(fps.join(of, (F.col("doc_id") == F.col("_doc")) & (F.col("th") == F.col("_th"))).select("fp", "node").distinct(), "simhash-nodes")
+    least = stash(pairs.groupBy("fp").agg(F.min("node").alias("m")), "simhash-least")
+    equal = pairs.join(least, "fp").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
+    a, b = (least.select(F.col("fp").alias(c), F.col("m").alias(f"{c}_node")) for c in "ab")
+    near = links(least.select("fp"), radius).join(a, "a").join(b, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).where("a <> b")
+    roots = similar.components(known, placed, stash(equal.unionByName(near).distinct(), "simhash-links"), similarity)
+    rows = placed.select("doc_id", "th", "node").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    return rows.select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document."""
     found = near_classes(table(spark, sf_dir, "documents"))

@@ -1,0 +1,214 @@
+"""Links between texts whose sets of word shingles have a Jaccard similarity of at least some value.
+
+SimHash fingerprints of such pairs differ in far more bits than a covering can guarantee, so the pipeline adds
+this pass to the covering one. Candidates share a band of ``ROWS`` minima of ``BANDS`` (at a similarity of 0.8
+two texts miss all bands once in 5,000 pairs) and agree in at least ``LIKELY`` of all minima; every link is
+then verified on the whole sets of shingles.
+
+Equal sets are one node. In a bucket only stars are tested, hubs first: a node with all nodes like it that are
+not in its component yet. What the links don't join is tested again from other nodes, round by round, until
+every like pair is in one component or has been tested; no round lists all pairs, no bucket is capped. Large
+buckets are cut again by other bands.
+"""
+
+from __future__ import annotations
+
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import stash
+from ._text import SPACE, column, hash_runs, mix, runs, slices
+from .components import connected
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 16, 4
+LIKELY = 0.6
+#: A bucket of more nodes than this is cut again.
+LARGE = 4096
+_K = BANDS * ROWS
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIERS = mix(np.arange(1, _K + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def shingle_sets(batch: pa.RecordBatch, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of every text one after another, and where each text's begin.
+
+    A text of fewer words is one shingle, one without words has that of no words.
+    """
+    raw, offsets = column(batch, "text")
+    raw = _LOWER[raw]
+    starts, ends, row = runs(~SPACE[raw], offsets)
+    h = hash_runs(raw, starts, ends)
+    n = np.bincount(row, minlength=batch.num_rows)
+    begin = np.cumsum(n) - n
+    count = np.maximum(n - shingle + 1, 1)
+    of = np.repeat(np.arange(batch.num_rows), count)
+    at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    g = np.minimum(n[of], shingle).astype(np.uint64)
+    for k in range(shingle):
+        inside = k < n[of]
+        word = h[np.minimum(at + k, max(len(h) - 1, 0))] if len(h) else np.zeros(len(of), np.uint64)
+        g = np.where(inside, mix(g * _STEP + word), g)
+    order = np.lexsort((g, of))
+    g, of = g[order], of[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
+    g, of = g[new], of[new]
+    return g, np.searchsorted(of, np.arange(batch.num_rows))
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text the name of its set, the set's size and its minima, 8 bytes each."""
+    for whole in batches:
+        for batch in slices(whole):
+            g, begin = shingle_sets(batch)
+            size = np.diff(np.append(begin, len(g)))
+            name = mix(np.add.reduceat(mix(g), begin) + size.astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)
+            least = np.stack([np.minimum.reduceat(g * m, begin) for m in _MULTIPLIERS], 1) if len(begin) else np.zeros((0, _K), np.uint64)
+            least = np.ascontiguousarray(mix(least))
+            wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * _K), len(begin), [None, pa.py_buffer(least.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name.view(np.int64)), pa.array(size.astype(np.int64)), wide], names=["doc_id", "th", "node", "size", "least"])
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each band of each node, with 16 bits of every minimum."""
+    for batch in batches:
+        n = batch.num_rows
+        least = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(n, _K)
+        keys = least.reshape(n, BANDS, ROWS)
+        key = keys[:, :, 0]
+        for k in range(1, ROWS):
+            key = mix(key * _STEP + keys[:, :, k])
+        sketch = np.ascontiguousarray(least.astype(np.uint16))
+        packed = np.repeat(sketch, BANDS, axis=0).tobytes()
+        wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * _K), n * BANDS, [None, pa.py_buffer(packed)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(key.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(n), BANDS))), batch.column(1).take(pa.array(np.repeat(np.arange(n), BANDS))), wide],
+            names=["band", "key", "node", "size", "sketch"],
+        )
+
+
+def stars(sketch: np.ndarray, size: np.ndarray, component: np.ndarray, done: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a centre and a node like it in another component. Centres that are ``done`` have been tested."""
+    m = len(sketch)
+    some = sketch[np.unique(np.linspace(0, m - 1, min(m, 128)).astype(int))]
+    degree = np.array([(some == s).sum() for s in sketch])
+    covered, found = done.copy(), []
+    for c in np.argsort(-degree, kind="stable"):
+        if covered[c]:
+            continue
+        like = ~done & (component != component[c]) & (np.minimum(size, size[c]) >= similarity * np.maximum(size, size[c]))
+        like[like] = (sketch[like] == sketch[c]).sum(1) >= LIKELY * _K
+        near = np.flatnonzero(like)
+        if len(near):
+            covered[near] = covered[c] = True
+            found += [(int(c), int(x)) for x in near]
+    return found
+
+
+def _tested(similarity: float):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by band and key; a bucket may go on in the next batch."""
+        rest: pa.Table | None = None
+
+        def edges(rows: pa.Table) -> pa.RecordBatch:
+            band, key, node, size, component, done = (rows.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(6))
+            sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(len(node), _K)
+            cut = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1
+            bounds = np.concatenate([[0], cut, [len(node)]])
+            out: list[tuple] = []
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                for some in _parts(sketch[low:high]) if high - low > LARGE else [np.arange(high - low)]:
+                    at = low + some
+                    if len(at) > 1:
+                        out += [(band[low], key[low], node[at[c]], node[at[x]]) for c, x in stars(sketch[at], size[at], component[at], done[at], similarity)]
+            columns = list(zip(*out)) if out else [[], [], [], []]
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.array(c), t) if len(c) else pa.array([], t) for c, t in zip(columns, types)], names=["band", "key", "a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one = pa.Table.from_batches([batch])
+            rows = one if rest is None else pa.concat_tables([rest, one])
+            band, key = (rows.column(i).combine_chunks().to_numpy() for i in (0, 1))
+            last = (band == band[-1]) & (key == key[-1])
+            at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            rest = rows.slice(at)
+            if at:
+                yield edges(rows.slice(0, at))
+        if rest is not None:
+            yield edges(rest)
+
+    return each
+
+
+def _parts(sketch: np.ndarray) -> Iterator[np.ndarray]:
+    """The nodes of a large bucket by other bands, of every BANDS-th minimum."""
+    for j in range(BANDS):
+        key = np.zeros(len(sketch), np.uint64)
+        for k in range(ROWS):
+            key = mix(key * _STEP + sketch[:, j + k * BANDS])
+        order = np.argsort(key, kind="stable")
+        yield from np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole):
+            g, begin = shingle_sets(batch)
+            offsets = pa.array(np.append(begin, len(g)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(g.view(np.int64)))], names=["node", "set"])
+
+
+def nodes(docs: DataFrame) -> DataFrame:
+    """``(doc_id, th, node, size, least)`` of every row; texts with equal sets of shingles are one node."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return stash(rows.mapInArrow(_nodes, "doc_id long, th long, node long, size long, least binary"), "similar-nodes")
+
+
+def components(docs: DataFrame, placed: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(node, root)`` of the nodes of ``placed`` that link to any other: by verified links of all that are
+    similar enough, and by the links ``known(a, b)``, which need no test."""
+    distinct = placed.groupBy("node", "size").agg(F.min("least").alias("least"))
+    bands = distinct.select("node", "size", "least").mapInArrow(_banded, "band int, key long, node long, size long, sketch binary")
+    shared = stash(bands.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "similar-keys")
+    bands = stash(bands.join(shared, ["band", "key"]), "similar-bands")
+    # one text for each node that shares a band with another
+    wanted = bands.select("node").distinct().join(placed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+    wanted = wanted.select("node", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
+    texts = docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))).select("node", "text")
+    sets = texts.mapInArrow(_sets, "node long, set array<bigint>").groupBy("node").agg(F.first("set").alias("set"))
+    sets = stash(sets, "similar-sets")
+    found, done = known.select("a", "b"), None
+    for _ in itertools.count():
+        roots = stash(connected(found), "similar-roots")
+        rows = bands.join(roots, bands.node == roots.node, "left").select("band", "key", bands.node, "size", F.coalesce("root", bands.node).alias("component"), "sketch")
+        if done is None:
+            rows = rows.withColumn("done", F.lit(False))
+        else:
+            rows = rows.join(done.withColumn("done", F.lit(True)), ["band", "key", "node"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+        rows = rows.select("band", "key", "node", "size", "component", "done", "sketch")
+        # buckets that are one component need no further test
+        open_ = rows.groupBy("band", "key").agg((F.min("component") < F.max("component")).alias("open")).where("open").drop("open")
+        bands_left = rows.join(open_, ["band", "key"])
+        tested = bands_left.repartition("band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(_tested(similarity), "band int, key long, a long, b long")
+        tested = stash(tested, "similar-tested")
+        pairs = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        same = both >= similarity * (F.size("x") + F.size("y") - both)
+        if tested.isEmpty():
+            return roots
+        # what is joined already is a star of its root
+        fresh = pairs.join(left, "a").join(right, "b").where(same).select("a", "b")
+        found = stash(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh), "similar-links")
+        centres = tested.select("band", "key", F.col("a").alias("node")).distinct()
+        done = stash(centres if done is None else centres.unionByName(done).distinct(), "similar-done")

@@ -1,0 +1,87 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import similar, simhash
+
+from .test_simhash import plain_fingerprint, plain_roots
+
+
+def plain_set(text, k=5):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def plain_links(docs, least=0.8, radius=4):
+    """(id, text) to the pairs that link, by looking at all."""
+    sets, fps = [plain_set(t) for _, t in docs], [plain_fingerprint(t or "") for _, t in docs]
+    out = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= least * (len(a) + len(sets[j]) - both) or (fps[i] ^ fps[j]).bit_count() <= radius:
+                out.append((docs[j][0], docs[i][0]))
+    return out
+
+
+def edited(rng, text, share):
+    return " ".join(f"z{rng.randrange(10**6)}" if rng.random() < share else w for w in text.split(" "))
+
+
+def corpus(rng):
+    """Originals with copies of all degrees, hidden hubs, passages that many share, short texts."""
+    docs = []
+    for _ in range(6):
+        base = " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randrange(60, 400)))
+        docs += [base] + [edited(rng, base, s) for s in (0.005, 0.01, 0.02, 0.02, 0.03, 0.04, 0.06, 0.1) for _ in range(4)]
+    passage = " ".join(f"p{i}" for i in range(120))
+    docs += [f"{passage} " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(n)) for n in range(20, 140, 2)]
+    docs += ["", None, "a b", "A  b", "a b c", "a b c d e", "a b c d e f", " \n"]
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def test_sets_are_those_of_the_words():
+    texts = ["a B c d e f g", "", None, "x y", "X  y", "a b c d e f g a b c d e f g", "é é é é é é"]
+    g, begin = similar.shingle_sets(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}))
+    sets = [set(x.tolist()) for x in np.split(g, begin[1:])]
+    assert [len(s) for s in sets] == [3, 1, 1, 1, 1, 8 - 1, 1]
+    assert sets[1] == sets[2] and sets[3] == sets[4] and sets[0] < sets[5]
+
+
+@pytest.mark.parametrize("large", [4096, 6])
+def test_classes_against_all_pairs(spark, monkeypatch, large):
+    monkeypatch.setattr(similar, "LARGE", large)
+    docs = corpus(random.Random(5))
+    roots = plain_roots([i for i, _ in docs], plain_links(docs))
+    df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, th string")
+    kept = simhash.keep_first(df, similarity=0.8)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in roots.items() if i == r)
+
+
+def test_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    near = text.replace("w7 ", "x ").replace("w150 ", "y ")
+    rows = [(5, text), (5, near), (5, near), (9, "other text that nobody has"), (None, text), (7, near), (5, "other text that nobody has")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8)
+    got = sorted(map(tuple, kept.collect()), key=str)
+    assert len(got) == 3 and (None, text) in got and (5, "other text that nobody has") in got and sum(i == 5 and t in (text, near) for i, t in got) == 1
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.keep_first(empty, similarity=0.8).count() == 0
+
+
+def test_many_copies_of_a_hidden_hub_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(2)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    docs = [(i + 1, edited(rng, base, 0.012)) for i in range(300)] + [(1000, base)]
+    rounds = []
+    monkeypatch.setattr(similar, "connected", lambda e, real=similar.connected: rounds.append(1) or real(e))
+    kept = simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string"), similarity=0.8)
+    roots = plain_roots([i for i, _ in docs], plain_links(docs))
+    assert kept.count() == sum(i == r for i, r in roots.items())
+    assert len(rounds) <= 10
+    assert kept.agg(F.min("doc_id")).first()[0] == 1
