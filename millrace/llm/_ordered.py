@@ -33,13 +33,14 @@ def running_cells(cells: DataFrame, groups: list[str], cell: str, value: str, bi
         along = Window.partitionBy(*groups).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
         return cells.withColumn(out, F.coalesce(F.sum(value).over(along), F.lit(0)))
     rows = cells.withColumn("_run", F.shiftright(cell, low))
-    runs = rows.groupBy(*groups, "_run").agg(F.sum(value).alias("_sum"))
+    runs = rows.groupBy(*groups, "_run").agg(F.sum(value).alias("_run_sum"))
     along = Window.partitionBy(*groups).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.col("_run").alias("_of_run"), F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_base"))
+    runs = runs.select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.col("_run").alias("_of_run"), F.coalesce(F.sum("_run_sum").over(along), F.lit(0)).alias("_run_base"))
     inside = Window.partitionBy(*groups, "_run").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_part", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    rows = rows.withColumn("_run_part", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     same = _same([(g, f"_of_{g}") for g in groups]) & (F.col("_run") == F.col("_of_run"))
-    return rows.join(runs, same).withColumn(out, F.col("_base") + F.col("_part")).drop("_run", "_of_run", "_base", "_part", *[f"_of_{g}" for g in groups])
+    joined = rows.join(runs, same).withColumn(out, F.col("_run_base") + F.col("_run_part"))
+    return joined.drop("_run", "_of_run", "_run_base", "_run_part", *[f"_of_{g}" for g in groups])
 
 
 def before(df: DataFrame, groups: list[str], order: list[str], value: Column, most_rows: int, out: str) -> DataFrame:

@@ -65,34 +65,22 @@ def shingle_sets(batch: pa.RecordBatch, shingle: int = SHINGLE) -> tuple[np.ndar
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text the name of its set, the set's size and its minima, 8 bytes each."""
+    """For each text the name of its set, the set's size, the keys of its bands and 16 bits of each minimum."""
     for whole in batches:
         for batch in slices(whole):
             g, begin = shingle_sets(batch)
+            n = len(begin)
             size = np.diff(np.append(begin, len(g)))
-            name = mix(np.add.reduceat(mix(g), begin) + size.astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)
-            least = np.stack([np.minimum.reduceat(g * m, begin) for m in _MULTIPLIERS], 1) if len(begin) else np.zeros((0, _K), np.uint64)
-            least = np.ascontiguousarray(mix(least))
-            wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * _K), len(begin), [None, pa.py_buffer(least.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name.view(np.int64)), pa.array(size.astype(np.int64)), wide], names=["doc_id", "th", "node", "size", "least"])
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of each node, with 16 bits of every minimum."""
-    for batch in batches:
-        n = batch.num_rows
-        least = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(n, _K)
-        keys = least.reshape(n, BANDS, ROWS)
-        key = keys[:, :, 0]
-        for k in range(1, ROWS):
-            key = mix(key * _STEP + keys[:, :, k])
-        sketch = np.ascontiguousarray(least.astype(np.uint16))
-        packed = np.repeat(sketch, BANDS, axis=0).tobytes()
-        wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * _K), n * BANDS, [None, pa.py_buffer(packed)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(key.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(n), BANDS))), batch.column(1).take(pa.array(np.repeat(np.arange(n), BANDS))), wide],
-            names=["band", "key", "node", "size", "sketch"],
-        )
+            name = mix(np.add.reduceat(mix(g), begin) + size.astype(np.uint64))
+            least = mix(np.stack([np.minimum.reduceat(g * m, begin) for m in _MULTIPLIERS], 1))
+            rows = least.reshape(n, BANDS, ROWS)
+            key = rows[:, :, 0]
+            for k in range(1, ROWS):
+                key = mix(key * _STEP + rows[:, :, k])
+            sketch = np.ascontiguousarray(least.astype(np.uint16))
+            wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * _K), n, [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(key).reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name.view(np.int64)), pa.array(size.astype(np.int64)), keys, wide], names=["doc_id", "th", "node", "size", "keys", "sketch"])
 
 
 def stars(sketch: np.ndarray, size: np.ndarray, component: np.ndarray, done: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -169,46 +157,51 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, th, node, size, least)`` of every row; texts with equal sets of shingles are one node."""
+    """``(doc_id, th, node, size, keys, sketch)`` of every row; texts with equal sets of shingles are one node."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return stash(rows.mapInArrow(_nodes, "doc_id long, th long, node long, size long, least binary"), "similar-nodes")
+    return stash(rows.mapInArrow(_nodes, "doc_id long, th long, node long, size long, keys array<bigint>, sketch binary"), "similar-nodes")
 
 
 def components(docs: DataFrame, placed: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)`` of the nodes of ``placed`` that link to any other: by verified links of all that are
-    similar enough, and by the links ``known(a, b)``, which need no test."""
-    distinct = placed.groupBy("node", "size").agg(F.min("least").alias("least"))
-    bands = distinct.select("node", "size", "least").mapInArrow(_banded, "band int, key long, node long, size long, sketch binary")
-    shared = stash(bands.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "similar-keys")
-    bands = stash(bands.join(shared, ["band", "key"]), "similar-bands")
-    # one text for each node that shares a band with another
-    wanted = bands.select("node").distinct().join(placed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one"))
-    wanted = wanted.select("node", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
-    texts = docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))).select("node", "text")
-    sets = texts.mapInArrow(_sets, "node long, set array<bigint>").groupBy("node").agg(F.first("set").alias("set"))
-    sets = stash(sets, "similar-sets")
-    found, done = known.select("a", "b"), None
+    similar enough, and by the links ``known(a, b)``, which need no test.
+
+    Minima travel only to buckets of several components, and after each round only those buckets are left in
+    which something was tested: where nothing is left to test now, nothing will be later.
+    """
+    # a row for each node, with one text that has its set
+    distinct = placed.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    distinct = stash(distinct, "similar-distinct")
+    slim = distinct.select("node", F.posexplode("keys").alias("band", "key"))
+    shared = slim.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    slim = stash(slim.join(shared, ["band", "key"]), "similar-bands")
+    sets, done, found = None, None, known.select("a", "b")
     for _ in itertools.count():
         roots = stash(connected(found), "similar-roots")
-        rows = bands.join(roots, bands.node == roots.node, "left").select("band", "key", bands.node, "size", F.coalesce("root", bands.node).alias("component"), "sketch")
+        rows = slim.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("band", "key", "node", F.coalesce("root", "node").alias("component"))
+        open_ = rows.groupBy("band", "key").agg((F.min("component") < F.max("component")).alias("open")).where("open").drop("open")
+        rows = rows.join(open_, ["band", "key"])
         if done is None:
             rows = rows.withColumn("done", F.lit(False))
         else:
             rows = rows.join(done.withColumn("done", F.lit(True)), ["band", "key", "node"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        rows = rows.select("band", "key", "node", "size", "component", "done", "sketch")
-        # buckets that are one component need no further test
-        open_ = rows.groupBy("band", "key").agg((F.min("component") < F.max("component")).alias("open")).where("open").drop("open")
-        bands_left = rows.join(open_, ["band", "key"])
-        tested = bands_left.repartition("band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(_tested(similarity), "band int, key long, a long, b long")
+        rows = stash(rows, "similar-open")
+        full = rows.join(distinct.select("node", "size", "sketch"), "node").select("band", "key", "node", "size", "component", "done", "sketch")
+        tested = full.repartition("band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(_tested(similarity), "band int, key long, a long, b long")
         tested = stash(tested, "similar-tested")
+        if tested.isEmpty():
+            return roots
+        if sets is None:
+            wanted = rows.select("node").distinct().join(distinct, "node").select("node", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
+            texts = docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))).select("node", "text")
+            sets = stash(texts.mapInArrow(_sets, "node long, set array<bigint>").groupBy("node").agg(F.first("set").alias("set")), "similar-sets")
         pairs = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         same = both >= similarity * (F.size("x") + F.size("y") - both)
-        if tested.isEmpty():
-            return roots
         # what is joined already is a star of its root
         fresh = pairs.join(left, "a").join(right, "b").where(same).select("a", "b")
         found = stash(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh), "similar-links")
+        slim = stash(rows.drop("component", "done").join(tested.select("band", "key").distinct(), ["band", "key"]), "similar-bands")
         centres = tested.select("band", "key", F.col("a").alias("node")).distinct()
         done = stash(centres if done is None else centres.unionByName(done).distinct(), "similar-done")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing
+from millrace.llm import _ordered, mixing
 
 
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
@@ -137,3 +137,15 @@ def test_repeated_ids_keep_their_own_columns(spark):
     assert words == want
     by_column = mixing.mix(df).count()
     assert by_column == len(rows)
+
+
+def test_running_totals_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(_ordered, "PER_CELL", 4)
+    monkeypatch.setattr(_ordered, "cells_of", lambda most, real=_ordered.cells_of: real(most, 4))
+    rows = spark.range(6000).select((F.col("id") % 5 == 0).alias("hot"), F.when(F.col("id") % 5 < 3, "big").when(F.col("id") % 5 == 3, "small").alias("g"), F.xxhash64("id").alias("h"), (F.col("id") % 11).alias("v"), "id")
+    got = _ordered.before(rows, ["g"], ["h", "id"], F.col("v"), 3600, "at").collect()
+    assert _ordered.cells_of(3600) >= 8 and len(got) == 6000
+    sums = Counter()
+    for r in sorted(got, key=lambda r: (str(r.g), r.h % 2**64)):
+        assert r["at"] == sums[r.g]
+        sums[r.g] += r.v
