@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import stash, table, unused
-from ._text import column
+from ._text import column, slices
 from .components import connected
+from .minima import links as similar_links
+from .minima import minima
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -46,18 +48,23 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``(doc_id, th, fp)`` of every row of ``docs(doc_id, text)``; th tells texts with equal ids apart."""
+def fingerprints(docs: DataFrame, shingle: int = 4, sketched: bool = False) -> DataFrame:
+    """``(doc_id, th, fp)`` of every row of ``docs(doc_id, text)``; th tells texts with equal ids apart.
+
+    With ``sketched`` also the columns ``keys`` and ``sketch`` of ``minima``.
+    """
+    names = ["doc_id", "th", "fp"] + ["keys", "sketch"] * sketched
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             raw, offsets = column(batch, "text")
             data = raw.tobytes()
             fps = [fingerprint(data[s:e], shingle) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "th", "fp"])
+            more = minima(batch) if sketched else ()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), *more], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(each, "doc_id long, th long, fp long")
+    return rows.mapInArrow(each, "doc_id long, th long, fp long" + ", keys array<bigint>, sketch binary" * sketched)
 
 
 def masks(radius: int = 4, step: int = 1) -> list[int]:
@@ -165,14 +172,18 @@ def links(reps: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.mapInArrow(_bucket_links(radius), "a long, b long").distinct()
 
 
-def _rooted(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
+def _rooted(docs: DataFrame, radius: int, shingle: int, similarity: float | None = None) -> DataFrame:
     """``(doc_id, th, fp, root, component_id)`` per row; root is the fingerprint that names the class.
 
-    Equal fingerprints are one node from the start, so a group of copies of any size costs one row.
+    Equal fingerprints are one node from the start, so a group of copies of any size costs one row. With
+    ``similarity`` the links of ``minima`` join fingerprints too.
     """
-    fps = stash(fingerprints(docs, shingle), "simhash")
+    fps = stash(fingerprints(docs, shingle, similarity is not None), "simhash")
     reps = stash(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-reps")
-    roots = connected(links(reps, radius))
+    found = links(reps, radius)
+    if similarity is not None:
+        found = found.unionByName(similar_links(fps.where("doc_id is not null"), similarity))
+    roots = connected(found)
     named = stash(reps.join(roots, reps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     least = stash(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
     of_fp = stash(named.join(least, "root").select("fp", "root", "component_id"), "simhash-of")
@@ -185,13 +196,14 @@ def near_classes(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFram
     return rows.select("doc_id", "th", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns kept, that stand for their class: the smallest doc_id.
 
     Rows without a doc_id all stay. Of every class one row stays, also where ids are repeated: classes are
-    told apart by their root, not by an id that two of them may share.
+    told apart by their root, not by an id that two of them may share. With ``similarity`` texts link as well
+    whose sets of five-word shingles are estimated to be that similar, see ``minima``.
     """
-    rows = _rooted(docs, radius, shingle).where("doc_id is not null")
+    rows = _rooted(docs, radius, shingle, similarity).where("doc_id is not null")
     doc, of = unused(docs, "doc", "th")
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("one"))
     first = stash(first.select(F.col("one.doc_id").alias(doc), F.col("one.th").alias(of)), "simhash-first")

@@ -5,6 +5,7 @@ from millrace.llm import mixing, quality
 from millrace.llm._common import stash, table
 
 from .test_decontam import plain as plain_hits
+from .test_minima import plain_set
 from .test_simhash import plain_fingerprint, plain_roots
 
 NAMES = ["quality classifier", "near duplicates", "benchmark decontamination", "source mix", "shards"]
@@ -26,10 +27,17 @@ def test_every_stage_against_brute_force(spark, sf_dir):
     assert sum(labels.get(r.doc_id) == 1 for r in good.collect()) == sum(labels.values())
 
     first = step(NAMES[1], good)
-    fps = {r.doc_id: plain_fingerprint(r.text or "") for r in good.collect()}
+    # fingerprints within four bits are links; so are like sets of shingles, save for the error of the estimate
+    texts = {r.doc_id: r.text or "" for r in good.collect()}
+    fps = {d: plain_fingerprint(t) for d, t in texts.items()}
     ids = sorted(fps)
-    roots = plain_roots(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 4])
-    assert sorted(r.doc_id for r in first.collect()) == [d for d in ids if roots[d] == d]
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 4]
+    sets = {d: plain_set(t) for d, t in texts.items()}
+    likes = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for i, a in enumerate(ids) for b in ids[i + 1 :] if not sets[a].isdisjoint(sets[b])]
+    stays = {r.doc_id for r in first.collect()}
+    most = plain_roots(ids, near + [(a, b) for a, b, j in likes if j >= 0.88])
+    least = plain_roots(ids, near + [(a, b) for a, b, j in likes if j >= 0.72])
+    assert {d for d in ids if least[d] == d} <= stays <= {d for d in ids if most[d] == d}
 
     clean = step(NAMES[2], first)
     items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
