@@ -342,7 +342,8 @@ def _exchange(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = read(spark, d, "events")
     key = lambda c: F.concat(F.lit("r-"), c.cast("string"))
     requests = e.where("event_type = 'view'").select(F.col("event_id").alias("request_id"), key(F.col("event_id")).alias("correlation_id"), F.col("ts").alias("sent_at"))
-    later = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round("value").cast("bigint") * 1_000_000).cast("timestamp_ntz")
+    # rint: as the cast of the SQL, halves go to the even second
+    later = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.rint("value").cast("bigint") * 1_000_000).cast("timestamp_ntz")
     replies = e.where("event_type <> 'view'").select(F.col("event_id").alias("reply_id"), key(F.col("event_id") - F.col("event_id") % 7).alias("correlation_id"), later.alias("replied_at"))
     return requests, replies
 

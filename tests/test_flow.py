@@ -1,8 +1,12 @@
+import datetime
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import envelope
 from millrace.operators import aggregate, exchange, flow
+from millrace.plans import catalog, messages
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +96,17 @@ def test_undecodable_headers_are_marked(spark):
     got = envelope.decode_headers(df).collect()
     assert [r.decode_error for r in got] == [False, True, False, False]
     assert got[0].headers == {"x": "1"} and got[0].delivery_count == 3 and got[2].headers == {}
+
+
+def test_replies_are_unmatched_as_in_the_sql_at_half_seconds(spark, tmp_path):
+    """A delay of 2.5 s is one of 2 s in the SQL, 3.5 s one of 4 s, so which reply is first depends on the rounding."""
+    at = lambda us: datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=us)
+    rows = [(7, at(0), 1, "view", 0.0), (8, at(0), 1, "click", 2.5), (9, at(600_000), 1, "click", 2.0)]
+    rows += [(14, at(0), 1, "view", 0.0), (15, at(0), 1, "error", 3.5), (16, at(600_000), 1, "error", 3.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for q in ("reply_unmatched", "request_reply"):
+        got = sorted(map(tuple, catalog.queries()[q](spark, str(tmp_path)).collect()))
+        assert got == sorted(db.execute(catalog.oracle_sql()[q]).fetchall())
+    assert sorted(r.reply_id for r in messages.reply_unmatched(spark, str(tmp_path)).collect()) == [9, 15]
