@@ -6,14 +6,15 @@ shingles under as many hash functions. Texts that share a band, ``ROWS`` minima
 ``BANDS * ROWS``, meet in a bucket (at 0.8 one pair in 200 shares none), and link when their minima agree, by
 eight bits of each, as often as those of sets of the similarity do: an estimate with a standard error of 0.018.
 
-A bucket of more than ``LARGE`` texts is told apart by the next band too, and what is still larger is dealt in
-parts of about that size. Texts of a large group of copies so meet in many other parts by the other bands, and
-one class comes out of it; a single pair among very many others that share its minima may be missed there.
+A bucket of more than ``LARGE`` texts is settled in two steps, and no pair of it is left out. First it is told
+apart by the next band too, and what is still larger is dealt in parts of about that size: texts of a large group
+of copies meet in many parts by the other bands, and one class comes out of it. Then every text of the bucket
+outside its largest class is compared with all texts of the bucket that are not in its class yet, block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ._common import stash
 from ._text import SPACE, column, hash_runs, mix, runs
+from .components import connected
 
 SHINGLE = 5
 BANDS, ROWS = 10, 4
@@ -75,6 +77,12 @@ def agreeing(similarity: float) -> int:
     return int(np.ceil(MINIMA * (similarity + (1 - similarity) / 256)))
 
 
+def agreement(sketch: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """With how many minima of ``one`` each row agrees; sums of eight bytes at once stay below 256 each."""
+    by_byte = (sketch == one).view(np.uint64).sum(1, dtype=np.uint64)
+    return by_byte.view(np.uint8).reshape(-1, 8).sum(1, dtype=np.int64)
+
+
 def forest(fps: np.ndarray, sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links in a bucket, breadth first over what is not reached yet."""
     need, edges = agreeing(similarity), []
@@ -83,7 +91,7 @@ def forest(fps: np.ndarray, sketch: np.ndarray, similarity: float) -> list[tuple
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             one = queue.pop()
-            like = np.count_nonzero(sketch[left] == sketch[one], axis=1) >= need
+            like = agreement(sketch[left], sketch[one]) >= need
             if like.any():
                 found = left[like]
                 edges += [(int(fps[one]), int(fps[x])) for x in found if fps[x] != fps[one]]
@@ -92,40 +100,81 @@ def forest(fps: np.ndarray, sketch: np.ndarray, similarity: float) -> list[tuple
     return edges
 
 
-def _bucket_links(similarity: float):
+def bridges(fps: np.ndarray, root: np.ndarray, rest: np.ndarray, sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges that join the classes ``root`` wherever a text with ``rest`` links to one without."""
+    need, edges = agreeing(similarity), []
+    of = np.unique(root, return_inverse=True)[1]
+    others = np.flatnonzero(~rest)
+    against = sketch[others]
+    for one in np.flatnonzero(rest):
+        if (of[others] == of[one]).all():
+            continue
+        for x in others[agreement(against, sketch[one]) >= need]:
+            if of[x] != of[one]:
+                edges.append((int(fps[one]), int(fps[x])))
+                of[of == of[x]] = of[one]
+    return edges
+
+
+def _bucket_links(edges_of: Callable[..., list[tuple[int, int]]]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a bucket may go on in the next batch."""
-        rest = None
+        """Rows ``(key, ..., sketch)`` come sorted by key; a bucket may go on in the next batch."""
+        kept = None
 
-        def links_of(key: np.ndarray, fps: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        def links_of(key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
             bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             edges = []
             for i in np.flatnonzero(np.diff(bounds) > 1):
-                edges += forest(fps[bounds[i] : bounds[i + 1]], sketch[bounds[i] : bounds[i + 1]], similarity)
+                edges += edges_of(*(c[bounds[i] : bounds[i + 1]] for c in columns))
             a, b = (list(x) for x in zip(*edges)) if edges else ([], [])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, MINIMA)
-            rows = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), sketch)
-            if rest is not None:
-                rows = tuple(np.concatenate([x, y]) for x, y in zip(rest, rows))
+            sketch = np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.uint8).reshape(-1, MINIMA)
+            rows = (*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]), sketch)
+            if kept is not None:
+                rows = tuple(np.concatenate([x, y]) for x, y in zip(kept, rows))
             at = int(np.searchsorted(rows[0], rows[0][-1]))
-            rest = tuple(x[at:] for x in rows)
+            kept = tuple(x[at:] for x in rows)
             if at:
                 yield links_of(*(x[:at] for x in rows))
-        if rest is not None:
-            yield links_of(*rest)
+        if kept is not None:
+            yield links_of(*kept)
 
     return each
 
 
+def _between(wide: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, large: int) -> DataFrame:
+    """The links that ``found`` lacks to join what is linked within the buckets ``wide(fp, name, key)``.
+
+    A bucket of one class is done. Of any other the texts outside its largest class, in blocks of about ``large``,
+    meet all its texts, in such blocks too: of m texts with r outside 2 r m / large rows travel, m where r is small.
+    """
+    roots = connected(found)
+    wide = wide.join(roots, wide.fp == roots.node, "left").select("fp", "name", "key", F.coalesce("root", "fp").alias("root"))
+    wide = stash(wide, "minima-wide")
+    classes = wide.groupBy("key", "root").agg(F.count("*").alias("n"))
+    open_ = classes.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("most")).where("m > most.n")
+    blocks = lambda n: F.ceil(n / large).cast("int")
+    open_ = open_.select("key", F.col("most.root").alias("main"), blocks(F.col("m")).alias("n_all"), blocks(F.col("m") - F.col("most.n")).alias("n_rest"))
+    rows = wide.join(stash(open_, "minima-open"), "key")
+    block = lambda n: F.pmod(F.xxhash64("fp", "name"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = rows.where("root <> main").select("fp", "name", "key", "root", F.lit(True).alias("rest"), block("n_rest").alias("i"), every("n_all").alias("j"))
+    whole = rows.select("fp", "name", "key", "root", F.lit(False).alias("rest"), every("n_rest").alias("i"), block("n_all").alias("j"))
+    met = rest.unionByName(whole).select("fp", "name", F.xxhash64("key", "i", "j").alias("key"), "root", "rest")
+    full = met.join(texts.select("fp", "name", "sketch"), ["fp", "name"]).select("key", "fp", "root", "rest", "sketch")
+    full = full.repartition("key").sortWithinPartitions("key")
+    return full.mapInArrow(_bucket_links(lambda *columns: bridges(*columns, similarity)), "a long, b long").distinct()
+
+
 def links(rows: DataFrame, similarity: float, large: int = LARGE) -> DataFrame:
     """Links ``(a, b)`` that join the fingerprints of similar texts of ``rows(fp, keys, sketch)``.
 
     Equal rows are one from the first aggregation on; sketches travel only to buckets of several fingerprints.
+    ``large`` sets how a bucket is worked on, not what is found in it.
     """
     rows = rows.select("fp", F.xxhash64("sketch").alias("name"), "keys", "sketch")
     texts = rows.groupBy("fp", "name").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
@@ -146,4 +195,9 @@ def links(rows: DataFrame, similarity: float, large: int = LARGE) -> DataFrame:
     twice = twice.select("fp", "name", F.when(F.col("m") > large, F.xxhash64("key", part)).otherwise(F.col("key")).alias("key"))
     full = once.unionByName(twice).join(texts.select("fp", "name", "sketch"), ["fp", "name"]).select("key", "fp", "sketch")
     full = full.repartition("key").sortWithinPartitions("key")
-    return full.mapInArrow(_bucket_links(similarity), "a long, b long").distinct()
+    found = full.mapInArrow(_bucket_links(lambda fps, sketch: forest(fps, sketch, similarity)), "a long, b long").distinct()
+    wide = dealt.where(F.col("m") > large).select("fp", "name", "key")
+    if not wide.head(1):
+        return found
+    found = stash(found, "minima-links")
+    return found.unionByName(_between(wide, texts, found, similarity, large))

@@ -107,3 +107,22 @@ def test_recall_on_a_table(spark, sf_dir):
     able = [(a, b) for a, b, j in likes if j >= 0.7 or plain[a] == plain[b]]
     able = plain_roots(ids, able + [(a, b) for a in ids for b in ids if a > b and plain[a] == plain[b]])
     assert all(able[a] == able[b] for a, b, _ in likes if root[a] == root[b])
+
+
+@pytest.mark.parametrize("copies", [0, 25])
+def test_no_pair_of_a_large_bucket_is_left_out(spark, copies):
+    """Many texts share one band and no other, as those of a frequent passage; a few of them are alike."""
+    rng = np.random.default_rng(3)
+    n, large = 90, 6
+    sketch = rng.integers(0, 256, (n, minima.MINIMA), np.uint8)
+    alike = [(0, 40), (40, 80), (7, 8), (89, 3), *((50, 51 + k) for k in range(copies))]
+    for a, b in alike:
+        sketch[b] = sketch[a]
+        sketch[b, rng.choice(minima.MINIMA, 40, replace=False)] += 1
+    keys = [[-1, *(100 * i + k for k in range(1, minima.BANDS))] for i in range(n)]
+    rows = spark.createDataFrame([(i, k, bytearray(s.tobytes())) for i, (k, s) in enumerate(zip(keys, sketch))], "fp long, keys array<long>, sketch binary").repartition(4)
+    found = [tuple(r) for r in minima.links(rows, 0.8, large).collect()]
+    links = [(a, b) for a in range(n) for b in range(a) if (sketch[a] == sketch[b]).sum() >= minima.agreeing(0.8)]
+    assert set(links) >= {(max(p), min(p)) for p in alike}
+    assert {(max(p), min(p)) for p in found} <= set(links)
+    assert plain_roots(list(range(n)), found) == plain_roots(list(range(n)), links)
