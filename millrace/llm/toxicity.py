@@ -16,7 +16,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,18 +142,77 @@ class Network:
             return np.full(batch.num_rows, self.constant)
         return sigmoid(self.scale * self.logits(batch).astype(float) + self.shift)
 
-    def logits(self, batch: pa.RecordBatch, part: int = 1024) -> np.ndarray:
+    def logits(self, batch: pa.RecordBatch, part: int = 512) -> np.ndarray:
         """The highest window logit of each text."""
         w = words_of(batch)
         x = self.inputs(w)[0]
         first, size, text = windows_of(w.row, batch.num_rows, stride=SCORE_STRIDE)
+        # windows of about one length run together, for no more steps than they have
+        order = np.argsort(size, kind="stable")
+        first, size, text = first[order], size[order], text[order]
         best = np.full(batch.num_rows, -np.inf, np.float32)
+        forward = self.forward(x if len(x) else np.zeros((1, 2 * DIM), np.float32))
         for at in range(0, len(first), part):
             idx, mask = steps_of(w.index, first[at : at + part], size[at : at + part])
-            logit = self.run(x if len(x) else np.zeros((1, 2 * DIM), np.float32), idx, mask)[0]
-            np.maximum.at(best, text[at : at + part], logit)
+            steps = max(int(size[at : at + part].max()), 1)
+            np.maximum.at(best, text[at : at + part], forward(idx[:steps], None if size[at] == steps else mask[:steps]))
         return best
 
+    def forward(self, x: np.ndarray) -> Callable[[np.ndarray, np.ndarray | None], np.ndarray]:
+        """The logits that ``run`` gives, for scoring: both directions in one step, a row for each unit, so that
+        every operation is on whole rows; ``mask`` is None where no window ends before the last step."""
+        p, two = self.p, 2 * HIDDEN
+        # the logistic function of the gates is taken as 0.5 tanh(0.5 a) + 0.5
+        scale = np.repeat(np.array([0.5, 0.5, 1], np.float32), HIDDEN)
+        xf, xb = ((x @ p["W" + d] + p["b" + d]) * scale for d in "fb")
+        u = np.zeros((3, 2, HIDDEN, 2, HIDDEN), np.float32)
+        for k, d in enumerate("fb"):
+            u[:, k, :, k] = (p["U" + d] * scale).T.reshape(3, HIDDEN, HIDDEN)
+        u = u.reshape(3 * two, two)
+        head = np.vstack([p["Wa"].T, p["w"][None]]).astype(np.float32)
+
+        def logit(idx: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+            steps, n = idx.shape
+            hidden = np.empty((steps, two, n), np.float32)
+            h, a, g = np.zeros((two, n), np.float32), np.empty((3 * two, n), np.float32), np.empty((3, 2, HIDDEN, n), np.float32)
+            for t in range(steps):
+                back = steps - 1 - t
+                # every place is inside; with mode clip numpy copies without looking first
+                g[:, 0] = xf.take(idx[t], axis=0, mode="clip").T.reshape(3, HIDDEN, n)
+                g[:, 1] = xb.take(idx[back], axis=0, mode="clip").T.reshape(3, HIDDEN, n)
+                inputs = g.reshape(3 * two, n)
+                np.matmul(u, h, out=a)
+                zr, c = a[: 2 * two], a[2 * two :]
+                zr += inputs[: 2 * two]
+                np.tanh(zr, out=zr)
+                z, r = zr[:two], zr[two:]
+                r *= 0.5
+                r += 0.5
+                c *= r
+                c += inputs[2 * two :]
+                np.tanh(c, out=c)
+                c -= h
+                z *= -0.5
+                z += 0.5
+                c *= z
+                if mask is not None:
+                    c[:HIDDEN] *= mask[t]
+                    c[HIDDEN:] *= mask[back]
+                h += c
+                hidden[t, :HIDDEN] = h[:HIDDEN]
+                hidden[back, HIDDEN:] = h[HIDDEN:]
+            seen = head @ hidden
+            att = seen[:, :HIDDEN] + p["ba"][:, None]
+            e = p["v"] @ np.tanh(att, out=att)
+            if mask is not None:
+                e = np.where(mask > 0, e, np.float32(-1e9))
+            e = np.exp(e - e.max(0))
+            if mask is not None:
+                e *= mask
+            return (e * seen[:, HIDDEN]).sum(0) / np.maximum(e.sum(0), 1e-9) + p["c"]
+
+        return logit
+
 
 def known(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
     """1 + the place of each hash, or 0 where it isn't known."""

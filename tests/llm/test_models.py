@@ -129,3 +129,32 @@ def test_passages_stand_whole_in_a_scored_window():
         text = [str(x) for x in rng.choice(words, 200)]
         alone = net.logits(batch([" ".join(text[i : i + toxicity.WINDOW]) for i in range(0, 152, 8)]))
         assert net.logits(batch([" ".join(text)]))[0] >= alone.max() - 1e-4
+
+
+def test_scoring_gives_the_logits_of_the_network():
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    net = toxicity.fit(batch([" ".join(rng.choice(words, 40)) for _ in range(40)]), np.arange(40) % 2, np.ones(40), epochs=1)
+    some = batch([None, "", "-", *(" ".join(rng.choice(words, n)) for n in (1, 2, 7, 47, 48, 49, 56, 57, 300)), *(" ".join(rng.choice(words, 900)) for _ in range(60))])
+    w = toxicity.words_of(some)
+    x = net.inputs(w)[0]
+    first, size, text = toxicity.windows_of(w.row, some.num_rows, stride=toxicity.SCORE_STRIDE)
+
+    def plain():
+        best = np.full(some.num_rows, -np.inf, np.float32)
+        np.maximum.at(best, text, np.concatenate([net.run(x, *toxicity.steps_of(w.index, first[i : i + 1024], size[i : i + 1024]))[0] for i in range(0, len(first), 1024)]))
+        return best
+
+    assert np.abs(net.logits(some) - plain()).max() < 1e-4
+    assert np.abs(net.logits(some, 7) - plain()).max() < 1e-4
+
+
+def test_short_windows_take_no_more_steps_than_they_have(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)]
+    net = toxicity.fit(batch([" ".join(rng.choice(words, 40)) for _ in range(40)]), np.arange(40) % 2, np.ones(40), epochs=1)
+    some, plain, done = batch([" ".join(rng.choice(words, 6)) for _ in range(50)]), np.tanh, []
+    monkeypatch.setattr(np, "tanh", lambda a, *more, **named: done.append(np.size(a)) or plain(a, *more, **named))
+    net.logits(some)
+    # gates and candidates of both directions, and the attention
+    assert sum(done) == 50 * 6 * (2 * 3 + 1) * toxicity.HIDDEN
